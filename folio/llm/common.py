@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -47,6 +48,10 @@ class Spill:
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        """Remove the files, and let Spark's cleaner see that the shuffles behind them are done with."""
+        del self.df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         parsed = urlparse(self.path)
         if parsed.scheme in ("", "file"):
             shutil.rmtree(parsed.path, ignore_errors=True)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import credentials, embed_dedup, media, minhash, pii, spm, token_counts
+from folio.llm import credentials, embed_dedup, media, minhash, mixing, pii, recompression, spm, token_counts
 from folio.llm.common import table
 
 #: Tokenizer files, by environment or as installed.
@@ -35,10 +35,18 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.links(table(spark, sf_dir, "embeddings"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -51,5 +59,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_token_counts, op4_embedding_dedup, op6_minhash_dedup, op8_pii, op9_secrets, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_token_counts, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_substring_dedup, op8_pii, op9_secrets, op10_sentencepiece)}
 ORACLE: dict[str, str] = {}

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import Spill, checkpoint, chunks
@@ -27,7 +27,7 @@ from folio.llm.hashing import Sums, mix, word_hashes
 
 U = np.uint64
 WINDOW = 35
-ROUNDS = 9
+ROUNDS = 5
 #: Bytes of text that are renamed at once.
 BYTES = 1 << 20
 
@@ -125,48 +125,148 @@ def _least_in(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 
 
 def clusters(words: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(name, words' hash, document, first window, windows) of the clusters of a batch; ``limits``: where documents start."""
-    lengths = np.diff(limits)
-    n = len(words)
-    starts = np.zeros(n + 1, np.int64)
-    room = np.maximum(lengths - WINDOW + 1, 0)
-    doc = np.repeat(np.arange(len(lengths)), room)
+    """The clusters of a batch: name, words' hash, document, first window, windows, the symbol's offset from it, its reach.
+
+    ``limits``: where each document's words start, and the end.
+    """
+    room = np.maximum(np.diff(limits) - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(room)), room)
     window = np.arange(len(doc)) - np.repeat(np.cumsum(room) - room, room) + limits[:-1][doc]
-    label = np.zeros(len(doc), U)
-    spot = np.full(len(doc), -1, np.int64)
+    label, low_of, reach = np.zeros(len(doc), U), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     pending = np.arange(len(doc))
-    for number, level in reversed(list(enumerate(levels(words)))):
-        if not len(pending):
-            break
-        # Reaches don't nest, so that the candidates of a window are a range they are made monotone first; that only drops some.
-        low, high = level.low, level.high
-        ok = high - low <= WINDOW
-        low, high, name = low[ok], high[ok], level.name[ok]
-        if not len(low):
+    for number, level in reversed(list(enumerate(levels(words))) if len(doc) else []):
+        # Reaches start and end in the order of their symbols, so a window's candidates are neighbours.
+        fits = level.high - level.low <= WINDOW
+        if not len(pending) or not fits.any():
             continue
-        lows = np.minimum.accumulate(low[::-1])[::-1]
-        highs = np.maximum.accumulate(high)
-        fine = (lows == low) & (highs == high)
-        low, high, name = low[fine], high[fine], name[fine]
-        w = window[pending]
-        first = np.searchsorted(low, w, "left")
-        last = np.searchsorted(high, w + WINDOW, "right") - 1
+        low, high, name = level.low[fits], level.high[fits], level.name[fits]
+        at = window[pending]
+        first, last = np.searchsorted(low, at, "left"), np.searchsorted(high, at + WINDOW, "right") - 1
         has = first <= last
-        if not has.any():
-            continue
-        best = _least_in(mix(name + U(77)), first[has], last[has])
-        at = pending[has]
-        label[at] = mix(name[best] + U(number))
-        spot[at] = low[best] * (ROUNDS + 2) + number
-        pending = pending[~has]
+        if has.any():
+            best = _least_in(mix(name + U(77)), first[has], last[has])
+            done = pending[has]
+            label[done], low_of[done], reach[done] = mix(name[best] + U(number)), low[best], high[best] - low[best]
+            pending = pending[~has]
     if not len(doc):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U), np.zeros(0, U), none, none, none
+        return np.zeros(0, U), np.zeros(0, U), none, none, none, none, none
     new = np.ones(len(doc), bool)
-    new[1:] = (label[1:] != label[:-1]) | (spot[1:] != spot[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (label[1:] != label[:-1]) | (low_of[1:] != low_of[:-1]) | (reach[1:] != reach[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(doc)))
-    a = window[head]
-    del starts
-    text = Sums(words).of(a, a + count + WINDOW - 1)
-    return label[head], mix(text + (spot[head] // (ROUNDS + 2) - a).astype(U)), doc[head], a - limits[:-1][doc[head]], count
+    start = window[head]
+    text = mix(Sums(words).of(start, start + count + WINDOW - 1) + (low_of[head] - start).astype(U))
+    return label[head], text, doc[head], start - limits[:-1][doc[head]], count, low_of[head] - start, reach[head]
+
+
+def _packed(start, count, offset, reach):
+    """A cluster's place in one number: first window, windows, the symbol's offset and its reach (each of the last three under 256)."""
+    return (start << 24) | (count << 16) | (offset << 8) | reach
+
+
+def _start(place: str) -> Column:
+    return F.shiftright(place, 24)
+
+
+def _count(place: str) -> Column:
+    return F.shiftright(place, 16).bitwiseAND(F.lit(255))
+
+
+def _filed(docs: DataFrame) -> DataFrame:
+    """name, text, doc, tag, place of every cluster of rows doc, tag, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for part, texts in chunks(rows, b.column(2), BYTES):
+                name, text, at, *place = clusters(*word_hashes(texts))
+                ids = [np.array(x, np.int64)[at] if len(x) else np.zeros(0, np.int64) for x in zip(*part, strict=True)]
+                yield pa.record_batch([pa.array(name.astype(np.int64)), pa.array(text.astype(np.int64)), pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(_packed(*place))], names=["name", "words", "doc", "tag", "place"])
+
+    return docs.mapInArrow(run, "name long, words long, doc long, tag int, place long")
+
+
+def _around(joined: DataFrame) -> DataFrame:
+    """For each cluster that stands for its group (doc, tag, text, places: array of place and weight): hashes of its windows, and of
+    its symbol with so many words to the left or to the right that equal windows agree in one of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                places = b.column(3)[i].as_py()
+                if not places:
+                    continue
+                words, _ = word_hashes([b.column(2)[i].as_py()])
+                n = len(words)
+                place, weight = (np.array([p[k] for p in places], np.int64) for k in ("place", "c"))
+                start, count, offset, reach = place >> 24, (place >> 16) & 255, (place >> 8) & 255, place & 255
+                sums = Sums(words)
+                low, high = start + offset, start + offset + reach
+                left = (WINDOW - reach + 1) // 2
+                right = WINDOW - reach - left + 1
+                salt = (place & 255).astype(U)
+                ok_left, ok_right = low >= left, high + right <= n
+                from_left = mix(sums.of(np.maximum(low - left, 0), high) + salt).astype(np.int64)
+                from_right = mix(sums.of(low, np.minimum(high + right, n)) ^ U(0x5555)).astype(np.int64) + reach
+                windows = [sums.of(np.arange(a, a + k), np.arange(a, a + k) + WINDOW).astype(np.int64) for a, k in zip(start.tolist(), count.tolist(), strict=True)]
+                many = len(place)
+                yield pa.record_batch(
+                    [pa.array([b.column(0)[i].as_py()] * many, pa.int64()), pa.array([b.column(1)[i].as_py()] * many, pa.int32()), pa.array(place), pa.array(weight), pa.array(from_left, mask=~ok_left), pa.array(from_right, mask=~ok_right), pa.array(windows, pa.list_(pa.int64()))],
+                    names=["doc", "tag", "place", "c", "l", "r", "windows"],
+                )
+
+    return joined.select("doc", "tag", "text", "places").mapInArrow(run, "doc long, tag int, place long, c long, l long, r long, windows array<long>")
+
+
+def _cut(joined: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept of rows doc_id, text, spans (array of first window and windows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words = (b.column(1)[i].as_py() or b"").split()
+                spans = b.column(2)[i].as_py() or []
+                gone = np.zeros(len(words) + 1, np.int64)
+                for s in spans:
+                    gone[s["a"]] += 1
+                    gone[min(s["a"] + s["n"] + WINDOW - 1, len(words))] -= 1
+                out = np.cumsum(gone)[:-1] > 0
+                kept = b" ".join(w for w, g in zip(words, out.tolist(), strict=True) if not g) if out.any() else b" ".join(words)
+                yield pa.record_batch([b.column(0)[i : i + 1], pa.array([len(words)], pa.int64()), pa.array([int(out.sum())], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept.decode("utf-8", "replace")])], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept: a row for each row of ``docs``.
+
+    Words are runs that aren't ASCII white space, unchanged. A word goes if a window of WINDOW consecutive words over it also
+    starts anywhere else, in the same document or another; all windows are judged on the input. Null, empty and short
+    texts lose nothing, rows that repeat are each other's repeats, extra columns are ignored, an empty table gives an empty one.
+    """
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)).alias("doc"), (F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")) % (1 << 31)).cast("int").alias("tag"), F.col(f"`{text}`").cast("binary").alias("text"))
+    filed = Spill(_filed(source.select("doc", "tag", "text")))
+    names = Spill(filed.df.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("x"), F.max("words").alias("y")).where("n > 1").select("name", F.expr("x <> y").alias("differ")))
+    hits = Spill(filed.df.join(names.df, "name"))
+    filed.drop()
+    names.drop()
+    # All clusters of a name have the same words: each of their windows repeats.
+    sure = hits.df.where("not differ").select("doc", "tag", "place")
+    differ = hits.df.where("differ")
+    groups = Spill(differ.groupBy("name", "words").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tag", "place")).alias("one")))
+    equal = differ.join(groups.df.where("c > 1").select("name", "words"), ["name", "words"]).select("doc", "tag", "place")
+    # One cluster of each group stands for it, with the group's size as weight.
+    wanted = groups.df.select("one.doc", "one.tag", "one.place", "c").groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "c")).alias("places"))
+    around = Spill(_around(source.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"])))
+    sides = around.df.select("doc", "tag", "place", F.explode(F.array("l", "r")).alias("side")).where("side is not null")
+    shared = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
+    alike = sides.join(checkpoint(shared), "side", "left_semi").select("doc", "tag", "place").distinct()
+    windows = Spill(around.df.join(alike, ["doc", "tag", "place"]).select("doc", "tag", "c", _start("place").alias("a"), F.posexplode("windows").alias("k", "h")).select("doc", "tag", "c", (F.col("a") + F.col("k")).alias("a"), "h"))
+    twice = checkpoint(windows.df.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h"))
+    single = windows.df.where("c = 1").join(twice, "h", "left_semi").select("doc", "tag", "a", F.lit(1).cast("long").alias("n"))
+    spans = sure.unionAll(equal).select("doc", "tag", _start("place").alias("a"), _count("place").alias("n")).unionAll(single)
+    by_doc = checkpoint(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "n")).alias("spans")))
+    for s in (hits, groups, around, windows):
+        s.drop()
+    return _cut(source.join(by_doc, ["doc", "tag"], "left"))
