@@ -6,8 +6,8 @@ documents at a time along the null space of the balancing constraints (words and
 keeps each one's expectation, until one of them is 0 or 1. Two are left undecided when a block ends.
 
 Blocks of about BLOCK documents of one source fly in parallel; what they leave undecided is dealt into fewer blocks and flies
-again, until one block of each source is left. Its RESERVE shortest documents don't fly. With the two that flight leaves they are
-the landing problem, settled by the outcome nearest to the expected totals, so the words taken come within a few of the target
+again, until one block of each source is left. RESERVE documents of it, of all lengths, don't fly. With the two that flight leaves
+they are the landing problem, settled by the outcome nearest to the expected totals, so the words taken come within a few of the target
 where a source has enough documents.
 """
 
@@ -113,8 +113,10 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def last_flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The flight of a source's last block, whose RESERVE shortest documents wait on the ground for the landing, and the landing."""
-    flying = np.sort(np.argsort(size, kind="stable")[RESERVE:])
+    """The flight of a source's last block, from which RESERVE documents of all lengths wait on the ground for the landing, and the landing."""
+    by_size = np.argsort(size, kind="stable")
+    waiting = by_size[np.unique(np.linspace(0, len(size) - 1, RESERVE).astype(int))]
+    flying = np.setdiff1d(np.arange(len(size)), waiting)
     p = p.astype(float).copy()
     p[flying] = flight(p[flying], size[flying], rng)
     return landing(p, size)
