@@ -8,9 +8,10 @@ Multi-index join: the signature is split into CHUNKS chunks. By the pigeonhole p
 most RADIUS symbols differ in at most RADIUS // CHUNKS = 1 symbol of some chunk. Each chunk is therefore looked up with every way of
 leaving out one symbol, which finds all pairs within RADIUS, without exception.
 
-Only components are wanted, so groups aren't expanded into pairs. First each bucket's members are compared with its smallest one.
-Then, while a bucket still holds members of different components, those are compared across components, block against block.
-Candidates outside the signature distance or with set sizes that can't reach the threshold are dropped; for the others the whole sets decide.
+Only components are wanted, so groups aren't expanded into pairs. A bucket's smallest member is its hub. First each document is compared
+with the hub that it shares most buckets with, then with its hubs in other components, and last, where a bucket still holds
+different components, members are compared across them, block against block. Candidates outside the signature distance, with an
+estimate far below the threshold, or with set sizes that can't reach it are dropped; for the others the whole sets decide.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +34,18 @@ PERCENT = 75
 SYMBOLS, CHUNKS = 64, 16
 PER_CHUNK = SYMBOLS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
-#: Further symbols of 8 bits that sharpen the estimate before whole sets are fetched, and the symbols of both kinds that may differ:
-#: at the threshold 32 of 128 do on average, and more than 54 with a probability of about 1e-5.
-EXTRA, EXTRA_RADIUS = 64, 54
+#: Bins of a second sketch, the least hash of each, which sharpens the estimate before whole sets are fetched: at the threshold the share of
+#: equal bins is 0.75 with a deviation of at most 0.02, so LEAST_SHARE is four and a half of them away.
+BINS, LEAST_SHARE = 512, 0.66
+#: Ids (8 bytes each) up to which a list of documents is broadcast; beyond that it is joined.
+BROADCAST_IDS = 400_000
+#: Pairs that are compared at once.
+PAIRS = 100_000
 BLOCK = 1024
 U32 = np.uint32
 _RNG = np.random.default_rng(11)
-_A = _RNG.integers(1, 1 << 31, SYMBOLS + EXTRA).astype(U32) * U32(2) + U32(1)
-_B = _RNG.integers(0, 1 << 32, SYMBOLS + EXTRA, dtype=np.uint64).astype(U32)
+_A = _RNG.integers(1, 1 << 31, SYMBOLS).astype(U32) * U32(2) + U32(1)
+_B = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(U32)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -53,19 +57,30 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(Sums(mix(words)).of(at, np.minimum(at + WIDTH, len(words))))
 
 
-def signature(shingled: np.ndarray) -> tuple[bytes, bytes]:
-    """(SYMBOLS 16-bit symbols, EXTRA 8-bit symbols) of a set that isn't empty."""
+def signature(shingled: np.ndarray) -> bytes:
+    """SYMBOLS 16-bit symbols of a set that isn't empty."""
     x = (shingled >> np.uint64(32)).astype(U32)
-    least = np.full(SYMBOLS + EXTRA, 0xFFFFFFFF, U32)
-    for start in range(0, len(x), 512):
-        h = x[start : start + 512, None] * _A + _B
+    least = np.full(SYMBOLS, 0xFFFFFFFF, U32)
+    for start in range(0, len(x), 1024):
+        h = x[start : start + 1024, None] * _A + _B
         h ^= h >> U32(15)
         h *= U32(0x85EBCA6B)
         h ^= h >> U32(13)
         np.minimum(least, h.min(axis=0), out=least)
     least *= U32(0xC2B2AE35)
     least ^= least >> U32(16)
-    return least[:SYMBOLS].astype("<u2").tobytes(), least[SYMBOLS:].astype(np.uint8).tobytes()
+    return least.astype("<u2").tobytes()
+
+
+_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - int(np.log2(BINS)))).astype(np.uint64)
+
+
+def binned(shingled: np.ndarray) -> bytes:
+    """For each of BINS equal ranges of hashes 8 bits of the least hash in it, 0 for none."""
+    at = np.searchsorted(shingled, _EDGES)
+    end = np.append(at[1:], len(shingled))
+    least = shingled[np.minimum(at, len(shingled) - 1)]
+    return np.where(at < end, (mix(least) % np.uint64(255) + np.uint64(1)), np.uint64(0)).astype(np.uint8).tobytes()
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -96,7 +111,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches):
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            both = [signature(s) if len(s) else (None, None) for s in sets]
+            both = [(signature(s), binned(s)) if len(s) else (None, None) for s in sets]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s for s, _ in both], pa.binary()), pa.array([e for _, e in both], pa.binary())], names=["id", "n_shingles", "set_key", "sig", "extra"])
 
     return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, extra binary")
@@ -120,28 +135,36 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _passing(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Which rows of two aligned frames (n, sig, extra) can still link."""
-    sig = [np.frombuffer(b"".join(x.sig), "<u2").reshape(-1, SYMBOLS) for x in (a, b)]
-    extra = [np.frombuffer(b"".join(x.extra), np.uint8).reshape(-1, EXTRA) for x in (a, b)]
-    far = (sig[0] != sig[1]).sum(axis=1)
-    more = (extra[0] != extra[1]).sum(axis=1)
-    low, high = np.minimum(a.n, b.n).to_numpy(), np.maximum(a.n, b.n).to_numpy()
-    return (far <= RADIUS) & (far + more <= EXTRA_RADIUS) & (100 * low >= PERCENT * high)
+def _passing(n: tuple, sig: tuple, extra: tuple) -> np.ndarray:
+    """Which of some aligned pairs can still link, by set sizes, signatures and bins of both sides."""
+    ok = np.flatnonzero(100 * np.minimum(*n) >= PERCENT * np.maximum(*n))
+    out = np.zeros(len(n[0]), bool)
+    for start in range(0, len(ok), PAIRS):
+        at = ok[start : start + PAIRS]
+        at = at[(sig[0][at] != sig[1][at]).sum(axis=1) <= RADIUS]
+        x, y = extra[0][at], extra[1][at]
+        some = (x > 0) | (y > 0)
+        out[at] = ((x == y) & some).sum(axis=1) >= LEAST_SHARE * some.sum(axis=1)
+    return out
+
+
+def _arrays(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures and sizes allow a link."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.struct(F.col("n_shingles").alias("n"), "sig", "extra").alias(f"s{c}"))
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"), F.col("extra").alias(f"x{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                x, y = (pd.DataFrame(list(pdf[c])) if not isinstance(pdf[c].iloc[0], tuple) else pd.DataFrame(list(pdf[c]), columns=["n", "sig", "extra"]) for c in ("sa", "sb"))
-                yield pdf.loc[_passing(x, y), ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = tuple(np.asarray(b.column(i)) for i in (2, 3))
+                ok = pa.array(_passing(n, tuple(_arrays(b.column(i), "<u2", SYMBOLS) for i in (4, 5)), tuple(_arrays(b.column(i), np.uint8, BINS) for i in (6, 7))))
+                yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "sa", "sb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,6 +187,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
 
 
+def _inner_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs within consecutive groups, PAIRS or one row's at a time."""
+    row = np.repeat(starts + sizes, sizes) - np.arange(starts[0], starts[0] + sizes.sum()) - 1
+    index = np.arange(starts[0], starts[0] + sizes.sum())
+    done = np.concatenate([[0], np.cumsum(row)])
+    at = 0
+    while at < len(index):
+        end = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+        many = row[at:end]
+        left = np.repeat(index[at:end], many)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+        yield left, right
+        at = end
+
+
 def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidate pairs between different components of one bucket (members: key, id, component), block against block."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
@@ -173,26 +211,68 @@ def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
     placed = placed.join(reps.select("id", F.col("n_shingles").alias("n"), "sig", "extra"), "id")
     placed = placed.select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "id", "component", "n", "sig", "extra")
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        out = []
-        sig = np.frombuffer(b"".join(pdf.sig), "<u2").reshape(-1, SYMBOLS)
-        extra = np.frombuffer(b"".join(pdf.extra), np.uint8).reshape(-1, EXTRA)
-        ids, group, part, n = (pdf[c].to_numpy() for c in ("id", "component", "p", "n"))
-        one = pdf.lo.iloc[0] == pdf.hi.iloc[0]
-        for i in range(len(pdf) - 1):
-            rest = slice(i + 1, None)
-            ok = (group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))
-            if not one:
-                ok &= part[rest] != part[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                far = (sig[at] != sig[i]).sum(axis=1)
-                at = at[(far <= RADIUS) & (far + (extra[at] != extra[i]).sum(axis=1) <= EXTRA_RADIUS)]
-                out += [(ids[i], j) for j in ids[at]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return placed.groupBy("key", "lo", "hi").applyInPandas(block, "a long, b long").distinct()
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        key, lo, hi, part, ids, component, n = (group.column(i).to_numpy() for i in range(7))
+        sig, extra = _arrays(group.column(7), "<u2", SYMBOLS), _arrays(group.column(8), np.uint8, BINS)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        starts = np.flatnonzero(new)
+        found = []
+        for x, y in _inner_pairs(starts, np.diff(np.append(starts, len(key)))):
+            ok = (component[x] != component[y]) & ((lo[x] == hi[x]) | (part[x] != part[y]))
+            x, y = x[ok], y[ok]
+            ok = _passing((n[x], n[y]), (sig[x], sig[y]), (extra[x], extra[y])) if len(x) else np.zeros(0, bool)
+            found.append(np.stack([ids[x[ok]], ids[y[ok]]]))
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by group; the last group of a batch may go on in the next.
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, lo, hi = (np.asarray(b.column(i)) for i in range(3))
+            ends = np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if held and tuple(held[-1].column(i)[-1].as_py() for i in range(3)) != (key[-1], lo[-1], hi[-1]) and not cut:
+                yield compare(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if cut:
+                yield compare(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    spread = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+class _Checker:
+    """Confirms candidate pairs on whole sets, which are computed once for each document that needs it."""
+
+    def __init__(self, source: DataFrame, spills: list[Spill]):
+        self.source, self.spills, self.sets = source, spills, None
+
+    def confirmed(self, candidates: DataFrame) -> DataFrame:
+        wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
+        wanted = checkpoint(wanted)
+        few = wanted.count() <= BROADCAST_IDS
+        new = Spill(_whole_sets(self.source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")).dropDuplicates(["id"]))
+        self.spills.append(new)
+        self.sets = new.df if self.sets is None else self.sets.unionAll(new.df)
+        return checkpoint(_confirmed(candidates, self.sets))
+
+
+def _other(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    out = pairs
+    for c in ("a", "b"):
+        out = out.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    return out.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,22 +291,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hubs = checkpoint(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     members = Spill(keys.join(hubs, "key").select("key", "a", "id"))
     spills.append(members)
-    pairs = members.df.where("a < id").select("a", F.col("id").alias("b")).distinct()
-    candidates = checkpoint(_near(pairs, reps))
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = Spill(_whole_sets(source.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
-    spills.append(sets)
-    edges = checkpoint(_confirmed(candidates, sets.df))
+    pairs = checkpoint(members.df.where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")))
+    checker = _Checker(source, spills)
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    edges = checker.confirmed(checkpoint(_near(best, reps)))
     labels = checkpoint(components(edges))
-    grouped = members.df.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = checkpoint(_across(grouped, reps))
-    if not more.isEmpty():
-        wanted = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.df.select("id"), "id", "left_anti")
-        rest = Spill(_whole_sets(source.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
-        spills.append(rest)
-        found = checkpoint(_confirmed(more, sets.df.unionAll(rest.df)))
-        if not found.isEmpty():
-            labels = checkpoint(components(edges.unionAll(found)))
+    by_component = lambda: members.df.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    for candidates in (lambda: _near(_other(pairs.select("a", "b"), labels), reps), lambda: _across(by_component(), reps)):
+        more = checkpoint(candidates())
+        if not more.isEmpty():
+            found = checker.confirmed(more)
+            if not found.isEmpty():
+                edges = edges.unionAll(found)
+                labels = checkpoint(components(edges))
     by_set = checkpoint(reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")))
     joined = table.df.select("id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.coalesce("component_id", "id")
