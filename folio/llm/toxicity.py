@@ -183,7 +183,7 @@ class Machine:
 
 
 #: Decision of a text without units, and the one from which a unit counts as a hit.
-NOTHING, HIT = -2.0, 0.3
+NOTHING, HIT = -2.0, -0.1
 
 
 class Scorer:
@@ -285,18 +285,24 @@ def train_machine(positive: list[str], negative: list[str]) -> Machine:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and constant of the curve from evidence to labels, slightly held back, by Newton steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.diag([1e-2] * x.shape[1] + [1e-6])
-    w = np.zeros(z.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        r = p * (1 - p) + 1e-9
-        step = np.linalg.solve((z * r[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
+    """Weights and constant of the curve from evidence to labels, slightly held back, by Newton steps. No evidence counts against a label."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        z = np.hstack([x[:, used], np.ones((len(x), 1))])
+        ridge = np.diag([1e-2] * int(used.sum()) + [1e-6])
+        w = np.zeros(z.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            r = p * (1 - p) + 1e-9
+            step = np.linalg.solve((z * r[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
+            w = w - step
+            if np.abs(step).max() < 1e-9:
+                break
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[np.append(np.flatnonzero(used), x.shape[1])] = w
+            return out
+        used[np.flatnonzero(used)[int(w[:-1].argmin())]] = False
 
 
 def _by_chance(t: int, n: int, base: float) -> float:
