@@ -24,6 +24,7 @@ import hashlib
 import itertools
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,8 +179,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text`` masked; all other columns and rows as they are, null texts null."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def clean(values: pd.Series) -> pd.Series:
         return values.map(lambda t: masked(t, find(t)) if isinstance(t, str) else None)

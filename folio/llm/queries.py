@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import credentials, embed_dedup, media, minhash, mixing, pii, recompression, spm, token_counts
+from folio.llm import credentials, embed_dedup, media, minhash, mixing, pii, recompression, spm, token_counts, toxicity
 from folio.llm.common import table
 
 #: Tokenizer files, by environment or as installed.
@@ -24,9 +24,15 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored).drop("broken", "dct_hash")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "evidence")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # The bytes are those of the row that is counted, so both come out of one pass.
     counted = token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER))
     return counted.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit().alias("over_limit"))
 
@@ -59,5 +65,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_token_counts, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_substring_dedup, op8_pii, op9_secrets, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_toxicity, op3_token_counts, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_substring_dedup, op8_pii, op9_secrets, op10_sentencepiece)}
 ORACLE: dict[str, str] = {}

@@ -11,22 +11,28 @@ bounded memo. ``parity`` holds the ids against the sentencepiece library.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import per_row
+from folio.llm.common import chunks
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a process remembers, and the longest that it does.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
+#: Words that the backend gets at once, and bytes of text.
+BATCH, BYTES = 4_000, 1 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,7 +109,6 @@ class Codec:
             self.model = m = Model.parse(f.read())
         self.ids = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN)
-        self.bytes = {i: int(p[3:5], 16) for i, (p, _, t) in enumerate(m.pieces) if t == BYTE}
         usable = {p: i for i, (p, _, t) in enumerate(m.pieces) if t in (NORMAL, USER)}
         if m.kind == BPE:
             order = sorted(usable, key=lambda p: (-m.pieces[usable[p]][1], usable[p]))
@@ -121,7 +126,9 @@ class Codec:
         #: Proof that cutting before markers changes nothing: no piece that merges has one after another character.
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in usable)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: What each id decodes to.
+        self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else " \u2047 ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in m.pieces]
+        self.memo: dict[str, bytes] = {}
 
     def normalised(self, text: str) -> str:
         if self.map:
@@ -132,45 +139,41 @@ class Codec:
             return ""
         return ((" " if self.model.dummy_prefix else "") + text).replace(" ", MARK)
 
-    def _backend(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _backend(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word as packed 32-bit numbers, so many words at a time."""
+        for start in range(0, len(words), BATCH):
+            for e in self.tokenizer.encode_batch(words[start : start + BATCH], add_special_tokens=False):
+                yield array("i", e.ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids without begin and end; null and empty texts have none."""
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids without begin and end, packed; null and empty texts have none."""
         flat = [self.normalised(t) if t else "" for t in texts]
         if not self.cuts or self.user:
-            return [list(x) for x in self._backend(flat)]
+            return list(self._backend(flat))
         cut = [self.word.findall(t) for t in flat]
         rest = {w for words in cut for w in words} - self.memo.keys()
         if len(self.memo) + len(rest) > MEMO:
             self.memo.clear()
             rest = {w for words in cut for w in words}
-        known = self.memo
-        long: dict[str, tuple[int, ...]] = {}
         pending = list(rest)
-        for start in range(0, len(pending), 20_000):
-            part = pending[start : start + 20_000]
-            for w, ids in zip(part, self._backend(part), strict=True):
-                (known if len(w) <= MEMO_CHARS else long)[w] = ids
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w] if w in known else long[w]
-            out.append(ids)
+        known = self.memo
+        known.update(zip(pending, self._backend(pending), strict=True))
+        out = [b"".join([known[w] for w in words]) for words in cut]
+        for w in pending:
+            if len(w) > MEMO_CHARS:
+                del known[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.packed(texts)]
+
+    def readable(self, text: str | None) -> str:
+        """The normalised text as decoding gives it."""
+        return self.normalised(text)[self.model.dummy_prefix :].replace(MARK, " ") if text else ""
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The normalised text; bytes that aren't UTF-8 become replacement characters, unknowns the format's own sign."""
-        parts: list[bytes] = []
-        for i in ids:
-            piece, _, kind = self.model.pieces[i]
-            if kind == BYTE:
-                parts.append(bytes([self.bytes[i]]))
-            elif kind == UNKNOWN:
-                parts.append(" ⁇ ".encode())
-            elif kind != CONTROL:
-                parts.append(piece.replace(MARK, " ").encode())
+        parts = map(self.spelled.__getitem__, ids)
         text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
@@ -192,17 +195,17 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     Null and empty texts have an empty list. Repeated rows give repeated rows; other columns are ignored. No shuffle.
     """
 
-    def setup():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
+        for batch in batches:
+            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1), BYTES):
+                got = codec.packed(texts)
+                back = [codec.decode(array("i", p)) == codec.readable(t) for p, t in zip(got, texts, strict=True)]
+                sizes = [len(p) // 4 for p in got]
+                pieces = pa.ListArray.from_arrays(pa.array(list(itertools.accumulate(sizes, initial=0)), pa.int32()), pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(got))]))
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pieces, pa.array(back)], names=ENCODED.fieldNames())
 
-        def work(ids: list, texts: list) -> dict[str, list]:
-            pieces = codec.encode(texts)
-            back = [codec.decode(p) == (codec.normalised(t)[codec.model.dummy_prefix :].replace(MARK, " ") if t else "") for p, t in zip(pieces, texts, strict=True)]
-            return {"doc_id": ids, "n_pieces": [len(p) for p in pieces], "ids": pieces, "round_trip": back}
-
-        return work
-
-    return per_row(docs, doc_id, text, ENCODED, None, setup)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, ENCODED)
 
 
 DECODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -210,8 +213,6 @@ DECODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("te
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of doc_id, ids; null ids give a null text."""
-    import pyarrow as pa
-
     def run(batches):
         codec = Codec(path)
         for b in batches:

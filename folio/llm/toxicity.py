@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -400,8 +401,6 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, machine: Machine, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that score under ``cut``, columns as they are."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf(T.DoubleType())
