@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folio.plans import blocks
+from folio.plans.registry import ORACLE, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["MODULES", "ORACLE", "QUERIES"]
+
+#: Imported for the queries that they register.
+MODULES = (blocks,)
