@@ -4,13 +4,14 @@ The model file's protobuf is parsed by hand: pieces with scores and types, train
 ``tokenizers`` backend is built: the normaliser (identity or its precompiled map, white space rules, dummy prefix, and the
 metaspace marker), and the model, which is Unigram with its scores, or BPE whose merges follow from the scores. Bytes that no piece covers fall back to byte pieces.
 
-A text is cut before each run of markers where that provably changes nothing: no piece holds a marker after
-another character. So distinct words are encoded once each, in batches on the library's threads, and remembered in a
-bounded memo. ``parity`` holds the ids against the sentencepiece library.
+A text is cut before each run of markers and around line ends where that provably changes nothing: no piece that merges holds a
+marker after another character, or a line end beside one. So the backend merges word by word, remembers frequent words in its own
+bounded cache, and works on the library's threads. ``parity`` holds the ids against the sentencepiece library.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import struct
@@ -29,10 +30,8 @@ MARK = "▁"
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words whose ids a process remembers, and the longest that it does.
-MEMO, MEMO_CHARS = 200_000, 64
-#: Words that the backend gets at once, and bytes of text.
-BATCH, BYTES = 4_000, 1 << 20
+#: Bytes of text that the backend gets at once.
+BYTES = 1 << 19
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,7 +102,7 @@ class Model:
 
 class Codec:
     def __init__(self, path: str):
-        from tokenizers import AddedToken, Tokenizer, models, normalizers
+        from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         with open(path, "rb") as f:
             self.model = m = Model.parse(f.read())
@@ -121,14 +120,14 @@ class Codec:
         user = [p for p, _, t in m.pieces if t == USER]
         if user:
             self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p in user])
-        self.user = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
         self.map = normalizers.Precompiled(m.charsmap) if m.charsmap else None
-        #: Proof that cutting before markers changes nothing: no piece that merges has one after another character.
-        self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in usable)
-        self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        # The proof that cutting changes nothing: merges only make pieces, and none holds such neighbours.
+        neighbours = {p[i : i + 2] for p in usable for i in range(len(p) - 1)}
+        if not user and not any(n[1] == MARK != n[0] for n in neighbours):
+            line = "" if any("\n" in n for n in neighbours) else "\n"
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else "")), "isolated")
         #: What each id decodes to.
         self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else " \u2047 ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in m.pieces]
-        self.memo: dict[str, bytes] = {}
 
     def normalised(self, text: str) -> str:
         if self.map:
@@ -139,30 +138,10 @@ class Codec:
             return ""
         return ((" " if self.model.dummy_prefix else "") + text).replace(" ", MARK)
 
-    def _backend(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each word as packed 32-bit numbers, so many words at a time."""
-        for start in range(0, len(words), BATCH):
-            for e in self.tokenizer.encode_batch(words[start : start + BATCH], add_special_tokens=False):
-                yield array("i", e.ids).tobytes()
-
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        """Ids without begin and end, packed; null and empty texts have none."""
+        """Ids without begin and end as packed 32-bit numbers; null and empty texts have none."""
         flat = [self.normalised(t) if t else "" for t in texts]
-        if not self.cuts or self.user:
-            return list(self._backend(flat))
-        cut = [self.word.findall(t) for t in flat]
-        rest = {w for words in cut for w in words} - self.memo.keys()
-        if len(self.memo) + len(rest) > MEMO:
-            self.memo.clear()
-            rest = {w for words in cut for w in words}
-        pending = list(rest)
-        known = self.memo
-        known.update(zip(pending, self._backend(pending), strict=True))
-        out = [b"".join([known[w] for w in words]) for words in cut]
-        for w in pending:
-            if len(w) > MEMO_CHARS:
-                del known[w]
-        return out
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [array("i", x).tolist() for x in self.packed(texts)]
@@ -178,6 +157,12 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    """One for a process, whatever the tasks that it runs."""
+    return Codec(path)
+
+
 def parity(path: str, texts: list[str]) -> list[int]:
     """Indexes of the texts whose ids differ from the sentencepiece library's."""
     import sentencepiece
@@ -196,11 +181,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches:
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1), BYTES):
-                got = codec.packed(texts)
-                back = [codec.decode(array("i", p)) == codec.readable(t) for p, t in zip(got, texts, strict=True)]
+                got = own.packed(texts)
+                back = [own.decode(memoryview(p).cast("i")) == own.readable(t) for p, t in zip(got, texts, strict=True)]
                 sizes = [len(p) // 4 for p in got]
                 pieces = pa.ListArray.from_arrays(pa.array(list(itertools.accumulate(sizes, initial=0)), pa.int32()), pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(got))]))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pieces, pa.array(back)], names=ENCODED.fieldNames())
@@ -214,9 +199,9 @@ DECODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("te
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of doc_id, ids; null ids give a null text."""
     def run(batches):
-        codec = Codec(path)
+        own = codec(path)
         for b in batches:
-            texts = [None if x is None else codec.decode(x) for x in b.column(1).to_pylist()]
+            texts = [None if x is None else own.decode(x) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
