@@ -13,6 +13,7 @@ token each, as the library's default has it.
 
 from __future__ import annotations
 
+import functools
 import json
 
 import regex
@@ -112,6 +113,12 @@ class Counter:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """One for a process, whatever the tasks that it runs; so the proof is made once in it."""
+    return Counter(path)
+
+
 SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_tokens")])
 
 
@@ -123,8 +130,8 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
 
     def setup():
-        counter = Counter(path)
-        return lambda ids, texts: {"doc_id": ids, "n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": counter.counts(texts)}
+        own = counter(path)
+        return lambda ids, texts: {"doc_id": ids, "n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": own.counts(texts)}
 
     return per_row(docs, doc_id, text, SCHEMA, None, setup)
 
