@@ -23,10 +23,10 @@ import bisect
 import hashlib
 import itertools
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm.common import per_row
@@ -179,8 +179,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text`` masked; all other columns and rows as they are, null texts null."""
-    @F.pandas_udf(T.StringType())
-    def clean(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: masked(t, find(t)) if isinstance(t, str) else None)
+    at = docs.columns.index(text)
 
-    return docs.withColumn(text, clean(F.col(text)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [masked(t, find(t)) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -81,7 +81,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
 
     Pairs with cosine >= threshold link. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
     so do vectors of different lengths. Equal vectors link with each other. An empty table gives an empty one. Repeated ids are separate
-    vectors in the counts. Other columns are ignored.
+    vectors in the counts; rows without an id link with nothing and are kept. Other columns are ignored.
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
 
@@ -95,7 +95,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
             yield pa.record_batch([b.column(0), pa.array(key, pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "key", "x"])
 
     keyed = checkpoint(rows.mapInArrow(fold, "vec_id long, key binary, x binary"))
-    reps = checkpoint(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x")))
+    reps = checkpoint(keyed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x")))
     n = reps.count()
     bits, tables = shape_of(n, threshold)
 
@@ -146,5 +146,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
     by_rep = reps.select("key", "id", "weight").join(counts, "id", "left").join(labels, "id", "left")
     by_rep = checkpoint(by_rep.select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     out = keyed.select("vec_id", "key").join(by_rep, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    named = F.col("vec_id").isNotNull()
+    component = F.when(named, F.coalesce("component_id", "vec_id"))
+    count = F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return out.select("vec_id", count.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
