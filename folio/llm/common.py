@@ -37,6 +37,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles and checkpoints are done with, so that a long operator's files don't pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Spill:
     """A table in the shared folder that an operator writes, reads several times and drops before it returns."""
 
@@ -50,8 +56,7 @@ class Spill:
     def drop(self) -> None:
         """Remove the files, and let Spark's cleaner see that the shuffles behind them are done with."""
         del self.df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        release(self.spark)
         parsed = urlparse(self.path)
         if parsed.scheme in ("", "file"):
             shutil.rmtree(parsed.path, ignore_errors=True)
@@ -83,7 +88,7 @@ def per_row(df: DataFrame, ident: str, text: str, schema: T.StructType, rows: Ca
 
 
 #: Bytes of text handled at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def chunks(ids: list, texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[list, list]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint
+from folio.llm.common import checkpoint, release
 
 #: Rounds after which the work counts as broken; the rounds needed grow with the logarithm of the nodes.
 MOST_ROUNDS = 60
@@ -47,6 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (got := _print_of(now)) == seen:
             break
         seen = got
+        release(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     labelled = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

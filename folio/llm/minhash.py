@@ -9,22 +9,22 @@ most RADIUS symbols differ in at most RADIUS // CHUNKS = 1 symbol of some chunk.
 leaving out one symbol, which finds all pairs within RADIUS, without exception.
 
 Only components are wanted, so groups aren't expanded into pairs. A bucket's smallest member is its hub. First each document is compared
-with the hub that it shares most buckets with, then with its hubs in other components, and last, where a bucket still holds
-different components, members are compared across them, block against block. Candidates outside the signature distance, with an
-estimate far below the threshold, or with set sizes that can't reach it are dropped; for the others the whole sets decide.
+with the hub that it shares most buckets with. Then, where a bucket still holds different components, sketches are compared across
+them, block against block; pairs with an estimate far below the threshold or with set sizes that can't reach it can't link. The others chain documents into candidate clusters, and within a cluster the whole sets of documents of
+different components are compared, again block against block. Blocks return spanning forests and never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import CHUNK, Spill, checkpoint, chunks
+from folio.llm.common import CHUNK, Spill, checkpoint, chunks, release
 from folio.llm.components import components
 from folio.llm.hashing import Sums, mix, word_hashes
 
@@ -35,13 +35,14 @@ SYMBOLS, CHUNKS = 64, 16
 PER_CHUNK = SYMBOLS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
 #: Bins of a second sketch, the least hash of each, which sharpens the estimate before whole sets are fetched: at the threshold the share of
-#: equal bins is 0.75 with a deviation of at most 0.02, so LEAST_SHARE is four and a half of them away.
-BINS, LEAST_SHARE = 512, 0.66
+#: equal bins is 0.75 with a deviation of at most 0.027, so LEAST_SHARE is four and a half of them away.
+BINS, LEAST_SHARE = 256, 0.63
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond that it is joined.
 BROADCAST_IDS = 400_000
-#: Pairs that are compared at once.
+#: Pairs that are compared at once; documents of a block whose whole sets are compared, and shingles at once.
 PAIRS = 100_000
-BLOCK = 1024
+SETS, COLUMNS = 256, 8192
+BLOCK = 2048
 U32 = np.uint32
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 31, SYMBOLS).astype(U32) * U32(2) + U32(1)
@@ -100,7 +101,7 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for b in batches:
-        for ids, texts in chunks(b.column(0).to_pylist(), b.column(1), CHUNK // 4):
+        for ids, texts in chunks(b.column(0).to_pylist(), b.column(1), CHUNK):
             words, starts = word_hashes(texts, lower=True)
             yield ids, [shingles(words[a:z]) for a, z in zip(starts[:-1], starts[1:], strict=True)]
 
@@ -135,13 +136,14 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _passing(n: tuple, sig: tuple, extra: tuple) -> np.ndarray:
-    """Which of some aligned pairs can still link, by set sizes, signatures and bins of both sides."""
+def _passing(n: tuple, extra: tuple, sig: tuple | None = None) -> np.ndarray:
+    """Which of some aligned pairs can still link, by set sizes, bins and, if given, signatures of both sides."""
     ok = np.flatnonzero(100 * np.minimum(*n) >= PERCENT * np.maximum(*n))
     out = np.zeros(len(n[0]), bool)
     for start in range(0, len(ok), PAIRS):
         at = ok[start : start + PAIRS]
-        at = at[(sig[0][at] != sig[1][at]).sum(axis=1) <= RADIUS]
+        if sig is not None:
+            at = at[(sig[0][at] != sig[1][at]).sum(axis=1) <= RADIUS]
         x, y = extra[0][at], extra[1][at]
         some = (x > 0) | (y > 0)
         out[at] = ((x == y) & some).sum(axis=1) >= LEAST_SHARE * some.sum(axis=1)
@@ -161,7 +163,7 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 n = tuple(np.asarray(b.column(i)) for i in (2, 3))
-                ok = pa.array(_passing(n, tuple(_arrays(b.column(i), "<u2", SYMBOLS) for i in (4, 5)), tuple(_arrays(b.column(i), np.uint8, BINS) for i in (6, 7))))
+                ok = pa.array(_passing(n, tuple(_arrays(b.column(i), np.uint8, BINS) for i in (6, 7)), tuple(_arrays(b.column(i), "<u2", SYMBOLS) for i in (4, 5))))
                 yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     return joined.select("a", "b", "na", "nb", "sa", "sb", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -208,55 +210,132 @@ def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
     sizes = checkpoint(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     placed = members.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.join(reps.select("id", F.col("n_shingles").alias("n"), "sig", "extra"), "id")
-    placed = placed.select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "id", "component", "n", "sig", "extra")
+    placed = placed.join(reps.select("id", F.col("n_shingles").alias("n"), "extra"), "id")
+    placed = placed.select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "id", "component", "n", "extra")
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         key, lo, hi, part, ids, component, n = (group.column(i).to_numpy() for i in range(7))
-        sig, extra = _arrays(group.column(7), "<u2", SYMBOLS), _arrays(group.column(8), np.uint8, BINS)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        starts = np.flatnonzero(new)
-        found = []
+        extra = _arrays(group.column(7), np.uint8, BINS)
+        starts = _group_starts(key, lo, hi)
+        found = [np.zeros((2, 0), np.int64)]
         for x, y in _inner_pairs(starts, np.diff(np.append(starts, len(key)))):
             ok = (component[x] != component[y]) & ((lo[x] == hi[x]) | (part[x] != part[y]))
             x, y = x[ok], y[ok]
-            ok = _passing((n[x], n[y]), (sig[x], sig[y]), (extra[x], extra[y])) if len(x) else np.zeros(0, bool)
+            ok = _passing((n[x], n[y]), (extra[x], extra[y])) if len(x) else np.zeros(0, bool)
             found.append(np.stack([ids[x[ok]], ids[y[ok]]]))
-        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        return _forest(np.concatenate(found, axis=1))
+
+    return _by_group(placed, compare).distinct()
+
+
+def _group_starts(*keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _forest(pairs: np.ndarray) -> pa.RecordBatch:
+    """Spanning edges (a, b), b the smallest of its component, of a graph given by its edges."""
+    ids, ends = np.unique(pairs, return_inverse=True)
+    x, y = ends.reshape(pairs.shape)
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.record_batch([pa.array(ids[at], pa.int64()), pa.array(ids[label[at]], pa.int64())], names=["a", "b"])
+
+
+def _by_group(placed: DataFrame, work: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Edges that ``work`` finds in whole groups; the first three columns of ``placed`` name a row's group, the fifth its id.
+
+    Groups are streamed from sorted partitions, many small ones at once, so a small group costs no call of its own.
+    """
+    names = placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by group; the last group of a batch may go on in the next.
         held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            key, lo, hi = (np.asarray(b.column(i)) for i in range(3))
-            ends = np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
-            cut = int(ends[-1]) + 1 if len(ends) else 0
-            if held and tuple(held[-1].column(i)[-1].as_py() for i in range(3)) != (key[-1], lo[-1], hi[-1]) and not cut:
-                yield compare(pa.Table.from_batches(held).combine_chunks())
+            keys = [np.asarray(b.column(i)) for i in range(3)]
+            if held and last != tuple(k[0] for k in keys):
+                yield work(pa.Table.from_batches(held).combine_chunks())
                 held = []
+            cut = int(_group_starts(*keys)[-1])
             if cut:
-                yield compare(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks())
+                yield work(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks())
                 held = []
             held.append(b.slice(cut))
+            last = tuple(k[-1] for k in keys)
         if held:
-            yield compare(pa.Table.from_batches(held).combine_chunks())
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return placed.repartition(*names[:3]).sortWithinPartitions(*names[:3], names[4]).mapInArrow(run, "a long, b long")
+
+
+def _linked_sets(items: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets link with each other, by products of their membership tables."""
+    sizes = np.array([len(x) for x in items])
+    owner = np.repeat(np.arange(len(items)), sizes)
+    known, column, many = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    # Shingles of one set alone are in no intersection.
+    shared = np.flatnonzero(many > 1)
+    place = np.full(len(known), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(items), len(items)))
+    for start in range(0, len(shared), COLUMNS):
+        a, z = np.searchsorted(column, [start, start + COLUMNS])
+        dense = np.zeros((len(items), min(COLUMNS, len(shared) - start)), np.float32)
+        dense[owner[a:z], column[a:z] - start] = 1
+        both += dense @ dense.T
+    linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    return linked
+
+
+def _inside(clusters: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links, as forests, between documents of one cluster (id, component: the cluster) and different components."""
+    own = clusters.select("id", F.col("component").alias("cluster")).join(labels, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
+    sizes = checkpoint(own.groupBy("cluster").agg(F.ceil(F.count("*") / SETS).cast("int").alias("parts")))
+    placed = own.join(sizes, "cluster").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, "id")
+    placed = placed.select("cluster", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "id", "component", "items")
+
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        cluster, lo, hi, part, ids, component = (group.column(i).to_numpy() for i in range(6))
+        starts = _group_starts(cluster, lo, hi)
+        found = [np.zeros((2, 0), np.int64)]
+        for a, z in zip(starts, np.append(starts[1:], len(ids)), strict=True):
+            linked = _linked_sets([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(6).slice(a, z - a)])
+            x, y = np.nonzero(np.triu(linked, 1))
+            ok = (component[a:z][x] != component[a:z][y]) & ((lo[a] == hi[a]) | (part[a:z][x] != part[a:z][y]))
+            found.append(np.stack([ids[a:z][x[ok]], ids[a:z][y[ok]]]))
+        return _forest(np.concatenate(found, axis=1))
 
-    spread = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return _by_group(placed, compare)
 
 
-class _Checker:
-    """Confirms candidate pairs on whole sets, which are computed once for each document that needs it."""
+class _Sets:
+    """Whole sets, computed once for each document that needs to be compared."""
 
     def __init__(self, source: DataFrame, spills: list[Spill]):
         self.source, self.spills, self.sets = source, spills, None
 
-    def confirmed(self, candidates: DataFrame) -> DataFrame:
-        wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """Whole sets, of the ids in ``wanted`` at least."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
         wanted = checkpoint(wanted)
@@ -264,15 +343,7 @@ class _Checker:
         new = Spill(_whole_sets(self.source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")).dropDuplicates(["id"]))
         self.spills.append(new)
         self.sets = new.df if self.sets is None else self.sets.unionAll(new.df)
-        return checkpoint(_confirmed(candidates, self.sets))
-
-
-def _other(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    out = pairs
-    for c in ("a", "b"):
-        out = out.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    return out.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        return self.sets
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,34 +351,39 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after folding A-Z; a text of fewer than WIDTH words is one shingle; null, empty and blank
     texts have no shingle, link with nothing and are kept. Equal sets link. Rows that repeat a doc_id are one node and all of them share its
-    component. Extra columns are ignored; an empty table gives an empty one. Sets are whole: no prefix, no cap on buckets.
+    component; rows without one link with nothing and are kept. Extra columns are ignored; an empty table gives an empty one. Sets are whole: no prefix, no cap on buckets.
     """
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     table = Spill(sketch(source))
     spills = [table]
-    firsts = table.df.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("extra").alias("extra"), F.first("n_shingles").alias("n_shingles"))
+    firsts = table.df.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("extra").alias("extra"), F.first("n_shingles").alias("n_shingles"))
     reps = checkpoint(firsts)
     keys = _keys(reps)
     hubs = checkpoint(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     members = Spill(keys.join(hubs, "key").select("key", "a", "id"))
     spills.append(members)
-    pairs = checkpoint(members.df.where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")))
-    checker = _Checker(source, spills)
+    del keys, hubs
+    release(docs.sparkSession)
+    pairs = members.df.where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
+    sets = _Sets(source, spills)
     best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    edges = checker.confirmed(checkpoint(_near(best, reps)))
+    candidates = checkpoint(_near(best, reps))
+    edges = checkpoint(_confirmed(candidates, sets.of(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
     labels = checkpoint(components(edges))
-    by_component = lambda: members.df.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    for candidates in (lambda: _near(_other(pairs.select("a", "b"), labels), reps), lambda: _across(by_component(), reps)):
-        more = checkpoint(candidates())
-        if not more.isEmpty():
-            found = checker.confirmed(more)
-            if not found.isEmpty():
-                edges = edges.unionAll(found)
-                labels = checkpoint(components(edges))
+    release(docs.sparkSession)
+    by_component = members.df.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    chained = checkpoint(_across(by_component, reps))
+    release(docs.sparkSession)
+    if not chained.isEmpty():
+        clusters = checkpoint(components(chained))
+        release(docs.sparkSession)
+        found = checkpoint(_inside(clusters, labels, sets.of(clusters.select("id"))))
+        if not found.isEmpty():
+            labels = checkpoint(components(edges.unionAll(found)))
     by_set = checkpoint(reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")))
     joined = table.df.select("id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    component = F.coalesce("component_id", "id")
-    out = checkpoint(joined.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    out = checkpoint(joined.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
     for s in spills:
         s.drop()
     return out
