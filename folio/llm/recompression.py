@@ -15,6 +15,7 @@ equal words are folded together. Where clusters of one name differ, their window
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,22 +107,25 @@ def levels(words: np.ndarray) -> list[Level]:
     return out
 
 
+#: Low bits that hold a symbol's place in its batch, in values whose high bits are its hash; a batch has fewer symbols than that.
+_PLACE = U((1 << 24) - 1)
+
+
 def _least_in(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Index of the least hash in each range first..last (inclusive, not empty)."""
-    order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(hashes), np.int64)
-    rank[order] = np.arange(len(hashes))
+    """Index of the least hash in each range first..last (inclusive, not empty), the first of equals."""
+    now = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=U)
     size = last - first + 1
     power = np.zeros(int(size.max()) + 1, np.int64)
     power[1:] = np.floor(np.log2(np.arange(1, len(power)))).astype(np.int64)
-    out = np.empty(len(first), np.int64)
-    now, step = rank, 1
+    level = power[size]
+    out = np.empty(len(first), U)
+    step = 1
     for p in range(int(power[-1]) + 1):
-        at = power[size] == p
+        at = np.flatnonzero(level == p)
         out[at] = np.minimum(now[first[at]], now[last[at] - step + 1])
         now = np.minimum(now[:-step], now[step:]) if len(now) > step else now
         step *= 2
-    return order[out]
+    return (out & _PLACE).astype(np.int64)
 
 
 def clusters(words: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -193,53 +197,62 @@ def _around(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                places = b.column(3)[i].as_py()
-                if not places:
-                    continue
-                words, _ = word_hashes([b.column(2)[i].as_py()])
-                n = len(words)
-                place, weight = (np.array([p[k] for p in places], np.int64) for k in ("place", "c"))
-                start, count, offset, reach = place >> 24, (place >> 16) & 255, (place >> 8) & 255, place & 255
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True))
+            for part, texts in chunks(rows, b.column(2), BYTES):
+                words, limits = word_hashes(texts)
+                lists = [p.values for _, _, p in part]
+                sizes = np.array([len(x) for x in lists])
+                packed = pa.concat_arrays(lists)
+                place, weight = np.asarray(packed.field("place")), np.asarray(packed.field("c"))
+                doc = np.repeat(np.arange(len(part)), sizes)
+                start = (place >> 24) + limits[:-1][doc]
+                count, offset, reach = (place >> 16) & 255, (place >> 8) & 255, place & 255
                 sums = Sums(words)
                 low, high = start + offset, start + offset + reach
                 left = (WINDOW - reach + 1) // 2
                 right = WINDOW - reach - left + 1
-                salt = (place & 255).astype(U)
-                ok_left, ok_right = low >= left, high + right <= n
+                salt = reach.astype(U)
+                ok_left, ok_right = low - left >= limits[:-1][doc], high + right <= limits[1:][doc]
                 from_left = mix(sums.of(np.maximum(low - left, 0), high) + salt).astype(np.int64)
-                from_right = mix(sums.of(low, np.minimum(high + right, n)) ^ U(0x5555)).astype(np.int64) + reach
-                windows = [sums.of(np.arange(a, a + k), np.arange(a, a + k) + WINDOW).astype(np.int64) for a, k in zip(start.tolist(), count.tolist(), strict=True)]
-                many = len(place)
-                yield pa.record_batch(
-                    [pa.array([b.column(0)[i].as_py()] * many, pa.int64()), pa.array([b.column(1)[i].as_py()] * many, pa.int32()), pa.array(place), pa.array(weight), pa.array(from_left, mask=~ok_left), pa.array(from_right, mask=~ok_right), pa.array(windows, pa.list_(pa.int64()))],
-                    names=["doc", "tag", "place", "c", "l", "r", "windows"],
-                )
+                from_right = mix(sums.of(low, np.minimum(high + right, len(words))) ^ (salt + U(0x5555))).astype(np.int64)
+                ends = np.cumsum(count)
+                window = np.repeat(start - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+                windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(sums.of(window, window + WINDOW).astype(np.int64)))
+                ids = [np.array(x, np.int64)[doc] for x in list(zip(*part, strict=True))[:2]]
+                yield pa.record_batch([pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(place), pa.array(weight), pa.array(from_left, mask=~ok_left), pa.array(from_right, mask=~ok_right), windows], names=["doc", "tag", "place", "c", "l", "r", "windows"])
 
     return joined.select("doc", "tag", "text", "places").mapInArrow(run, "doc long, tag int, place long, c long, l long, r long, windows array<long>")
 
 
-def _cut(joined: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept of rows doc_id, text, spans (array of first window and windows)."""
+def _cut(joined: DataFrame, texts: bool) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept of rows doc_id, text, spans (array of first window and windows)."""
+
+    def one(text: bytes | None, spans: pa.Array | None) -> tuple[int, int, bytes]:
+        words = (text or b"").split()
+        if spans is None or not len(spans):
+            return len(words), 0, b" ".join(words)
+        start, count = np.asarray(spans.field("a")), np.asarray(spans.field("n"))
+        gone = np.zeros(len(words) + 1, np.int64)
+        np.add.at(gone, start, 1)
+        np.add.at(gone, start + count + WINDOW - 1, -1)
+        stays = np.cumsum(gone)[:-1] == 0
+        return len(words), int((~stays).sum()), b" ".join(itertools.compress(words, stays.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                words = (b.column(1)[i].as_py() or b"").split()
-                spans = b.column(2)[i].as_py() or []
-                gone = np.zeros(len(words) + 1, np.int64)
-                for s in spans:
-                    gone[s["a"]] += 1
-                    gone[min(s["a"] + s["n"] + WINDOW - 1, len(words))] -= 1
-                out = np.cumsum(gone)[:-1] > 0
-                kept = b" ".join(w for w, g in zip(words, out.tolist(), strict=True) if not g) if out.any() else b" ".join(words)
-                yield pa.record_batch([b.column(0)[i : i + 1], pa.array([len(words)], pa.int64()), pa.array([int(out.sum())], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept.decode("utf-8", "replace")])], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            rows = list(zip(b.column(0).to_pylist(), b.column(2), strict=True))
+            for part, values in chunks(rows, b.column(1), BYTES):
+                got = [one(t, p.values) for t, (_, p) in zip(values, part, strict=True)]
+                arrays = [pa.array([i for i, _ in part], pa.int64()), pa.array([n for n, _, _ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for _, _, k in got], pa.string())]
+                if texts:
+                    arrays.append(pa.array([k.decode("utf-8", "replace") for _, _, k in got], pa.string()))
+                yield pa.record_batch(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(arrays)])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept: a row for each row of ``docs``.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept (the text that is left): a row for each row of ``docs``.
 
     Words are runs that aren't ASCII white space, unchanged. A word goes if a window of WINDOW consecutive words over it also
     starts anywhere else, in the same document or another; all windows are judged on the input. Null, empty and short
@@ -269,4 +282,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_doc = checkpoint(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "n")).alias("spans")))
     for s in (hits, groups, around, windows):
         s.drop()
-    return _cut(source.join(by_doc, ["doc", "tag"], "left"))
+    return _cut(source.join(by_doc, ["doc", "tag"], "left"), texts)
