@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from folio.llm import credentials, embed_dedup, media, minhash, mixing, pii, recompression, spm, token_counts, toxicity
 from folio.llm.common import table
+from folio.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 #: Tokenizer files, by environment or as installed.
 TOKENIZER = os.environ.get("FOLIO_TOKENIZER", "byte_bpe_50k.json")
@@ -50,7 +53,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +69,3 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_toxicity, op3_token_counts, op4_embedding_dedup, op5_mixing, op6_minhash_dedup, op7_substring_dedup, op8_pii, op9_secrets, op10_sentencepiece)}
-ORACLE: dict[str, str] = {}
