@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as ft
 
 
+#: Selectors of a batch that every block is held against at once.
+MOST_TERMS = 20_000
+
+
 def containing(blocks: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """Each (term, block) with the term somewhere in the block's text.
 
-    ``terms`` is the stated batch of selectors, a table of bounded size that every block is held against; it is broadcast.
+    ``terms`` is a stated batch of selectors that all blocks are held against. Up to MOST_TERMS they are broadcast; a larger batch
+    is dealt into slices of about that many, each of which passes over the blocks.
     """
-    return blocks.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)) & (F.length(term) > 0))
+    hit = F.contains(F.col(text), F.col(term)) & (F.length(term) > 0)
+    slices = -(-terms.count() // MOST_TERMS)
+    if slices <= 1:
+        return blocks.join(F.broadcast(terms), hit)
+    dealt = [terms.where(F.pmod(F.xxhash64(term), F.lit(slices)) == k) for k in range(slices)]
+    return functools.reduce(DataFrame.unionAll, [blocks.join(F.broadcast(t), hit) for t in dealt])
 
 
 def expected(matches: DataFrame, selectors: DataFrame, key: str, want: Column | None = None) -> DataFrame:

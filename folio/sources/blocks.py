@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +59,7 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), F.posexplode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word_ix", "word"))
 
 
-def ops(log: DataFrame, order: list[str], op: str, args: str, by: str | None = None) -> DataFrame:
-    """op_ix, op, args (map) of a log of JSON objects, in order; within ``by`` if it is named."""
-    from pyspark.sql import Window
-
-    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    kept = [by] if by else []
-    return log.select(*kept, (F.row_number().over(window) - 1).alias("op_ix"), F.col(op).alias("op"), F.from_json(args, OP_ARGS).alias("args"))
+def ops(log: DataFrame, by: str, order: list[str], op: str, args: str) -> DataFrame:
+    """by, op_ix (from 0), op, args (map): the ops of each ``by`` in their order, from a log with JSON arguments."""
+    window = Window.partitionBy(by).orderBy(*order)
+    return log.select(by, (F.row_number().over(window) - 1).alias("op_ix"), F.col(op).alias("op"), F.from_json(args, OP_ARGS).alias("args"))
