@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import shutil
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +69,17 @@ class Spill:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for ``mapInArrow``; at its end the worker, which Spark keeps for other tasks, gives freed memory back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def per_row(df: DataFrame, ident: str, text: str, schema: T.StructType, rows: Callable[[list, list], dict[str, list]], setup: Callable[[], Callable] | None = None, binary: bool = False) -> DataFrame:
     """Map (ids, texts) of Arrow batches to columns, without a shuffle.
 
@@ -84,25 +98,25 @@ def per_row(df: DataFrame, ident: str, text: str, schema: T.StructType, rows: Ca
                 got = work(ids, texts)
                 yield pa.record_batch([pa.array(got[n], type=k) for n, k in zip(names, kinds, strict=True)], schema=out)
 
-    return df.select(F.col(ident).alias("_id"), F.col(text).cast(kind).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(ident).alias("_id"), F.col(text).cast(kind).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 
 
-def chunks(ids: list, texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[list, list]]:
-    """Consecutive rows of at most ``most`` bytes of text, one row at least."""
-    values = texts.to_pylist()
+def chunks(ids: list, texts: pa.Array, most: int | None = None) -> Iterator[tuple[list, list]]:
+    """Consecutive rows of at most ``most`` bytes of text (CHUNK by default), one row at least; only these are Python objects at a time."""
+    most = most or CHUNK
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = size = 0
-    for i, value in enumerate(values):
-        n = len(value) if value else 0
+    for i, n in enumerate(sizes):
         if size and size + n > most:
-            yield ids[start:i], values[start:i]
+            yield ids[start:i], texts.slice(start, i - start).to_pylist()
             start, size = i, 0
         size += n
-    if start < len(values):
-        yield ids[start:], values[start:]
+    if start < len(sizes):
+        yield ids[start:], texts.slice(start).to_pylist()
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

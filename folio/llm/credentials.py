@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folio.llm.common import per_row
+from folio.llm.common import per_row, tidy
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "key", "ident", "endpoint")
@@ -186,4 +186,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = [masked(t, find(t)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

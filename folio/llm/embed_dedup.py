@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint
+from folio.llm.common import checkpoint, tidy
 from folio.llm.components import components
 
 THRESHOLD = 0.9
@@ -94,7 +94,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
                 key[i], packed[i] = hashlib.blake2b(raw, digest_size=16).digest(), raw
             yield pa.record_batch([b.column(0), pa.array(key, pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "key", "x"])
 
-    keyed = checkpoint(rows.mapInArrow(fold, "vec_id long, key binary, x binary"))
+    keyed = checkpoint(rows.mapInArrow(tidy(fold), "vec_id long, key binary, x binary"))
     reps = checkpoint(keyed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x")))
     n = reps.count()
     bits, tables = shape_of(n, threshold)
@@ -113,7 +113,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_i
                     for t in range(tables):
                         yield pa.record_batch([pa.array(np.full(len(part), t, np.int32)), pa.array(codes[:, t] * 65_536 + dim), pa.array(rep[part]), pa.array(weight[part]), pa.array([xs[i].tobytes() for i in part], pa.binary()), pa.array(packed, pa.binary())], names=["t", "code", "id", "weight", "x", "codes"])
 
-    dealt = reps.select("id", "weight", "x").mapInArrow(deal, "t int, code long, id long, weight long, x binary, codes binary")
+    dealt = reps.select("id", "weight", "x").mapInArrow(tidy(deal), "t int, code long, id long, weight long, x binary, codes binary")
     sizes = dealt.groupBy("t", "code").count().where("count > 1")
     sizes = checkpoint(sizes.select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")))
     # A member of part p meets its own and all later parts as the left side, all earlier ones as the right side.

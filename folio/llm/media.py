@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folio.llm.common import per_row
+from folio.llm.common import per_row, tidy
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -239,4 +239,4 @@ def media_features(media: DataFrame) -> DataFrame:
             arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), *arrays], names=schema.fieldNames())
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), schema)

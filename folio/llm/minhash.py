@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import CHUNK, Spill, checkpoint, chunks, release
+from folio.llm.common import CHUNK, Spill, checkpoint, chunks, release, tidy
 from folio.llm.components import components
 from folio.llm.hashing import Sums, mix, word_hashes
 
@@ -40,7 +40,7 @@ BINS, LEAST_SHARE = 256, 0.63
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond that it is joined.
 BROADCAST_IDS = 400_000
 #: Pairs that are compared at once; documents of a block whose whole sets are compared, and shingles at once.
-PAIRS = 100_000
+PAIRS = 40_000
 SETS, COLUMNS = 256, 8192
 BLOCK = 2048
 U32 = np.uint32
@@ -115,7 +115,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             both = [(signature(s), binned(s)) if len(s) else (None, None) for s in sets]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s for s, _ in both], pa.binary()), pa.array([e for _, e in both], pa.binary())], names=["id", "n_shingles", "set_key", "sig", "extra"])
 
-    return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, extra binary")
+    return docs.select("id", F.col("text").cast("binary")).mapInArrow(tidy(run), "id long, n_shingles long, set_key binary, sig binary, extra binary")
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _whole_sets(docs: DataFrame) -> DataFrame:
         for ids, sets in _sets(batches):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
 
-    return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, items binary")
+    return docs.select("id", F.col("text").cast("binary")).mapInArrow(tidy(run), "id long, items binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _keys(reps: DataFrame) -> DataFrame:
                 sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(b.num_rows, SYMBOLS)
                 yield pa.record_batch([pa.array(keys_of(sigs).ravel()), pa.array(np.repeat(np.asarray(b.column(0)), SYMBOLS))], names=["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sig").mapInArrow(tidy(run), "key long, id long")
 
 
 def _passing(n: tuple, extra: tuple, sig: tuple | None = None) -> np.ndarray:
@@ -166,7 +166,7 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 ok = pa.array(_passing(n, tuple(_arrays(b.column(i), np.uint8, BINS) for i in (6, 7)), tuple(_arrays(b.column(i), "<u2", SYMBOLS) for i in (4, 5))))
                 yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    return joined.select("a", "b", "na", "nb", "sa", "sb", "xa", "xb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "sa", "sb", "xa", "xb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return joined.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ia", "ib").mapInArrow(tidy(run), "a long, b long")
 
 
 def _inner_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -280,7 +280,7 @@ def _by_group(placed: DataFrame, work: Callable[[pa.Table], pa.RecordBatch]) ->
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return placed.repartition(*names[:3]).sortWithinPartitions(*names[:3], names[4]).mapInArrow(run, "a long, b long")
+    return placed.repartition(*names[:3]).sortWithinPartitions(*names[:3], names[4]).mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked_sets(items: list[np.ndarray]) -> np.ndarray:

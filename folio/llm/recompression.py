@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import Spill, checkpoint, chunks
+from folio.llm.common import Spill, checkpoint, chunks, tidy
 from folio.llm.hashing import Sums, mix, word_hashes
 
 U = np.uint64
@@ -188,7 +188,7 @@ def _filed(docs: DataFrame) -> DataFrame:
                 ids = [np.array(x, np.int64)[at] if len(x) else np.zeros(0, np.int64) for x in zip(*part, strict=True)]
                 yield pa.record_batch([pa.array(name.astype(np.int64)), pa.array(text.astype(np.int64)), pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(_packed(*place))], names=["name", "words", "doc", "tag", "place"])
 
-    return docs.mapInArrow(run, "name long, words long, doc long, tag int, place long")
+    return docs.mapInArrow(tidy(run), "name long, words long, doc long, tag int, place long")
 
 
 def _around(joined: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _around(joined: DataFrame) -> DataFrame:
                 ids = [np.array(x, np.int64)[doc] for x in list(zip(*part, strict=True))[:2]]
                 yield pa.record_batch([pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(place), pa.array(weight), pa.array(from_left, mask=~ok_left), pa.array(from_right, mask=~ok_right), windows], names=["doc", "tag", "place", "c", "l", "r", "windows"])
 
-    return joined.select("doc", "tag", "text", "places").mapInArrow(run, "doc long, tag int, place long, c long, l long, r long, windows array<long>")
+    return joined.select("doc", "tag", "text", "places").mapInArrow(tidy(run), "doc long, tag int, place long, c long, l long, r long, windows array<long>")
 
 
 def _cut(joined: DataFrame, texts: bool) -> DataFrame:
@@ -248,7 +248,7 @@ def _cut(joined: DataFrame, texts: bool) -> DataFrame:
                     arrays.append(pa.array([k.decode("utf-8", "replace") for _, _, k in got], pa.string()))
                 yield pa.record_batch(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(arrays)])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    return joined.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:

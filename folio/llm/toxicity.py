@@ -19,7 +19,6 @@ subsequences, so the decision is a sum over the unit's own subsequences of weigh
 from __future__ import annotations
 
 import functools
-import heapq
 import itertools
 import math
 import re
@@ -28,13 +27,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import checkpoint, chunks, per_row
+from folio.llm.common import checkpoint, chunks, per_row, tidy
 
 ORDERS = (3, 4)
 DECAY, GAPS = 0.5, 3
@@ -47,9 +45,9 @@ LEAST, LEAST_SHARE, CHANCE = 4, 0.8, 1e-6
 ROUNDS, HARD = 5, 2_000
 #: Toxic sentences from which a unit counts as well known. Such ones are also learned with a character put in, and lend their support to
 #: units whose kernel with them is ALIKE or more; so many of them do at most.
-WELL_KNOWN, ALIKE, MARKS = 20, 0.2, 200
+WELL_KNOWN, ALIKE, MARKS = 20, 0.5, 200
 #: Longest unit; longer words are read in windows that overlap by half. Units whose decisions a process remembers.
-LONGEST, MEMO = 24, 400_000
+LONGEST, MEMO = 24, 250_000
 #: Symbols: 0 is the mark of both ends, 1-26 are letters, the others are shared by all other characters.
 ALPHABET = 40
 #: Where sentences end.
@@ -61,47 +59,52 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STANDING_IN = re.compile(r"[0134578@$!]")
 
 
-@functools.lru_cache(maxsize=100_000)
 def units_of_word(word: str) -> tuple[str, ...]:
     """The units of one lower-case word: signs dropped, stand-ins read as letters, long ones in windows."""
     if not word.isalpha():
         if _STANDING_IN.search(word) and any(c.isalpha() for c in word):
-            inner = word.rstrip("!")
-            word = inner.translate(STANDINS)
+            word = word.rstrip("!").translate(STANDINS)
         word = _SIGNS.sub("", word)
-    word = unicodedata.normalize("NFC", word)
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
     if len(word) <= LONGEST:
         return (word,) if len(word) > 1 else ()
     step = LONGEST // 2
     return tuple(word[i : i + LONGEST] for i in range(0, len(word) - step, step))
 
 
-def units(text: str | None) -> set[str]:
-    """Distinct units of a whole text. Letters that stand apart one by one ("i d i o t") are joined, too."""
-    out: set[str] = set()
+def words_of(text: str | None) -> list[str]:
+    """The lower-case words of a whole text; letters that stand apart one by one ("i d i o t") are joined and come last."""
     if not text:
-        return out
+        return []
     text = text.lower()
-    words = set(_WORD.findall(text))
-    for w in words:
-        out.update(units_of_word(w))
+    found = _WORD.findall(text)
     if _SPELLED.search(text):
-        for m in _SPELLED.finditer(text):
-            out.update(units_of_word(_SIGNS.sub("", m[0])))
-    return out
+        found += [_SIGNS.sub("", m[0]) for m in _SPELLED.finditer(text)]
+    return found
 
 
-#: Four or more single letters in a row, signs and spaces between them.
-_SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\s.,*_-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
+def units(text: str | None) -> set[str]:
+    """Distinct units of a whole text."""
+    return {u for w in set(words_of(text)) for u in units_of_word(w)}
 
 
-def _symbol(c: str) -> int:
-    o = ord(c)
-    return o - 96 if 97 <= o <= 122 else 27 + o * 2654435761 % (1 << 32) % (ALPHABET - 27)
+#: Four or more single letters in a row, signs and spaces between them.
+_SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\s.,*_-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
 
 
 def coded(units_: list[str]) -> list[np.ndarray]:
-    return [np.array([0, *map(_symbol, u[:LONGEST]), 0], np.int64) for u in units_]
+    """Symbols of each unit, all at once, marks at both ends."""
+    cut = [u[:LONGEST] for u in units_]
+    sizes = np.array([len(u) for u in cut], np.int64)
+    at = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letters = np.where((at >= 97) & (at <= 122), at - 96, 27 + at * 2654435761 % (1 << 32) % (ALPHABET - 27))
+    ends = np.cumsum(sizes + 2)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    place = np.ones(len(out), bool)
+    place[ends - 1] = place[ends - sizes - 2] = False
+    out[place] = letters
+    return np.split(out, ends[:-1]) if len(ends) else []
 
 
 @functools.cache
@@ -183,6 +186,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
+#: Weight of the curve's penalty on large weights.
+HELD_BACK = 0.01
 #: Decision of a text without units, and the one from which a unit counts as a hit.
 NOTHING, HIT = -2.0, -0.1
 
@@ -195,30 +200,38 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.memo: dict[str, float] = {}
+        self.unit: dict[str, str] = {}
+        self.memo: dict[str, float] = {"": NOTHING}
+
+    def _learn(self, words: set[str]) -> None:
+        """Looks up what isn't known of some words. A long word stands for its units, of which the best is its own."""
+        new = words - self.unit.keys()
+        if len(self.unit) + len(new) > MEMO:
+            # What is used now stays, so frequent words do.
+            self.unit = {w: self.unit[w] for w in words - new}
+            self.memo = {u: self.memo[u] for u in {*self.unit.values(), ""}}
+        found = {w: units_of_word(w) for w in new}
+        pending = list({u for us in found.values() for u in us} - self.memo.keys())
+        self.memo.update(zip(pending, self.machine.decide(pending).tolist(), strict=True))
+        self.unit.update((w, max(us, key=self.memo.__getitem__) if us else "") for w, us in found.items())
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        found = [units(t) for t in texts]
-        new = set().union(*found) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*found)
-        pending = list(new)
-        memo = self.memo
-        memo.update(zip(pending, self.machine.decide(pending).tolist(), strict=True))
+        every = [words_of(t) for t in texts]
+        self._learn(set().union(*every))
+        unit, memo = self.unit, self.memo
         out = np.zeros((len(texts), 4))
-        for i, found_ in enumerate(found):
-            best = heapq.nlargest(2, map(memo.__getitem__, found_))
-            out[i, : len(best)] = best
-            out[i, len(best) : 2] = NOTHING
-            if best and best[0] > HIT:
-                hits = {u for u in found_ if memo[u] > HIT}
-                low = texts[i].lower()
+        out[:, :2] = NOTHING
+        for i, words in enumerate(every):
+            own = set(map(unit.__getitem__, words))
+            values = sorted(map(memo.__getitem__, own))[-2:]
+            if not values:
+                continue
+            out[i, : len(values)] = values[::-1]
+            if values[-1] > HIT:
+                hits = {u for u in own if memo[u] > HIT}
+                out[i, 2] = math.log1p(sum(map(hits.__contains__, map(unit.__getitem__, words))))
                 out[i, 3] = max(map(self.machine.supported, hits))
-                out[i, 2] = math.log1p(max(len(hits), sum(u in hits for w in _WORD.findall(low) for u in units_of_word(w))))
         np.clip(out[:, :2], NOTHING, -NOTHING, out=out[:, :2])
-        if len(memo) > MEMO:
-            memo.clear()
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -290,7 +303,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     used = np.ones(x.shape[1], bool)
     while True:
         z = np.hstack([x[:, used], np.ones((len(x), 1))])
-        ridge = np.diag([1e-2] * int(used.sum()) + [1e-6])
+        ridge = np.diag([HELD_BACK] * int(used.sum()) + [1e-6])
         w = np.zeros(z.shape[1])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -340,8 +353,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             found = [(u, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for u in sorted(units(t))]
             yield pa.record_batch([pa.array([u for u, _ in found], pa.string()), pa.array([y for _, y in found], pa.int64())], names=["unit", "toxic"])
 
-    cut = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(sentences, "sentence string, toxic long").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
-    counted = checkpoint(cut.mapInArrow(words, "unit string, toxic long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")))
+    cut = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(tidy(sentences), "sentence string, toxic long").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    counted = checkpoint(cut.mapInArrow(tidy(words), "unit string, toxic long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")))
     base = cut.agg(F.avg("toxic")).first()[0] or 0.0
     often = counted.where((F.col("t") >= LEAST) & (F.col("t") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("t"), "unit").limit(MOST_POSITIVE).collect()
     positive = sorted({r["unit"] for r in often if _by_chance(r["t"], r["n"], base) < CHANCE})
@@ -373,7 +386,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for labels_, texts in chunks(b.column(0).to_pylist(), b.column(1)):
                 yield pa.record_batch([pa.array(labels_, pa.int64()), pa.array(scorer.evidence(texts).tolist(), pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    seen = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(evidence, "toxic long, evidence array<double>").collect()
+    seen = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(tidy(evidence), "toxic long, evidence array<double>").collect()
     y, x = np.array([r["toxic"] for r in seen], float), np.array([r["evidence"] for r in seen], float).reshape(-1, 4)
     if 0 < y.sum() < len(y):
         machine.curve = _logistic(x, y)
@@ -400,14 +413,14 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, machine: Machine, text: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` that score under ``cut``, columns as they are."""
+    """The rows of ``docs`` that score under ``cut``, columns as they are. Batches are scored by parts, so memory follows the longest text."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for values in batches:
-            texts = [t if isinstance(t, str) else None for t in values]
-            yield pd.Series(scorer.scores(texts), dtype=float)
+        for b in batches:
+            scores = [s for _, texts in chunks(list(range(b.num_rows)), b.column(at)) for s in scorer.scores(texts).tolist()]
+            yield b.filter(pa.array([s < cut for s in scores], pa.bool_()))
 
-    return docs.where(scored(F.col(f"`{text}`")) < cut)
+    return docs.mapInArrow(tidy(run), docs.schema)
