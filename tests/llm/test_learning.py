@@ -176,7 +176,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in docs]
     rows += [(1000 + k, rows[4 * k + 1][1], "en", "s1", 0) for k in range(20)]
     rows += [(2000 + k, f"note {k} says password: abcdefgh{k} to nobody else but me", "en", "s2", 0) for k in range(5)]
-    rows += [(3000, None, "en", "s0", None), (3001, "", None, None, 0)]
+    rows += [(3000, None, "en", "s0", None), (3001, "", None, None, 0), (None, "no id but words", "en", "s0", 15), (None, "no id either", "en", "s0", 12)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -192,13 +192,13 @@ def test_pipeline(spark, tmp_path):
     toxic = {i for i, y in labels if y}
     assert len(toxic & set(ids["toxicity"])) <= 0.05 * len(toxic)
     assert len({i for i, y in labels if not y} - set(ids["toxicity"])) <= 4
-    assert len(ids["minhash_near_dedup"]) == len(set(ids["minhash_near_dedup"]))
+    assert len(ids["minhash_near_dedup"]) == len(set(ids["minhash_near_dedup"])) + 1
     assert not {1000 + k for k in range(20)} & set(ids["minhash_near_dedup"])
     assert {3000, 3001} <= set(ids["minhash_near_dedup"])
+    assert ids["secret_scans"].count(None) == 2
     masked = {r["doc_id"]: r["text"] for r in seen["secret_scans"].collect()}
     assert all("abcdefgh" not in masked[2000 + k] and "nobody else" in masked[2000 + k] for k in range(5) if 2000 + k in masked)
     taken = {i: ids["mixing"].count(i) for i in set(ids["mixing"])}
     assert max(taken.values()) <= 2
-    texts = {r["doc_id"]: r["text"] for r in seen["mixing"].collect()}
-    for r in spm.decode(seen["sentencepiece"], public_tokenizers.path("piece_bpe_32k.model")).collect():
-        assert r["text"] == (texts[r["doc_id"]] or "")
+    texts = {(r["doc_id"], r["text"] or "") for r in seen["mixing"].collect()}
+    assert {(r["doc_id"], r["text"]) for r in spm.decode(seen["sentencepiece"], public_tokenizers.path("piece_bpe_32k.model")).collect()} == texts
