@@ -70,7 +70,7 @@ def test_malformed_ops_are_refused_before_anything_runs(blocks, op):
 
 def test_minimal_difference_of_random_texts(spark):
     """Prefix, middle and suffix make up either text again."""
-    rng = random.Random(191026)
+    rng = random.Random(4711)
     pairs = [("".join(rng.choice("абв xy1«—") for _ in range(rng.randrange(28))), "".join(rng.choice("абв xy1«—") for _ in range(rng.randrange(28)))) for _ in range(1000)]
     df = spark.createDataFrame(pairs, "old string, new string")
     for r in df.select("old", "new", edits.minimal(F.col("old"), F.col("new")).alias("m")).collect():
