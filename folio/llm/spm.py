@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import re
 import struct
 from array import array
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import chunks
+from folio.llm.common import chunks, tidy
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Bytes of text that the backend gets at once.
-BYTES = 1 << 19
+#: Threads of the backend in each process; and bytes of text that it gets at once.
+THREADS = "2"
+BYTES = 1 << 18
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -159,7 +161,8 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One for a process, whatever the tasks that it runs."""
+    """One for a process, whatever the tasks that it runs, with few threads of its own, as an executor runs several processes."""
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     return Codec(path)
 
 
@@ -190,7 +193,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 pieces = pa.ListArray.from_arrays(pa.array(list(itertools.accumulate(sizes, initial=0)), pa.int32()), pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(got))]))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pieces, pa.array(back)], names=ENCODED.fieldNames())
 
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(tidy(run), ENCODED)
 
 
 DECODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -204,4 +207,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else own.decode(x) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), DECODED)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 
 import regex
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ from folio.llm.common import per_row
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose counts a process remembers; the memo starts anew beyond that.
 MEMO = 400_000
+#: Threads of the library in each process, as an executor runs several.
+THREADS = "2"
 #: Longer pre-tokens aren't remembered.
 MEMO_CHARS = 64
 LIMIT = 1024
@@ -116,6 +119,7 @@ class Counter:
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One for a process, whatever the tasks that it runs; so the proof is made once in it."""
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     return Counter(path)
 
 
