@@ -248,20 +248,26 @@ def varied(words: list[str]) -> list[str]:
     return [w for w in out if len(w) <= LONGEST]
 
 
+#: Strings of the second list that a kernel table is made for at once.
+COLUMNS = 64
+
+
 def _gram(a: list[dict], b: list[dict]) -> np.ndarray:
-    """Kernels between two lists of strings, over the subsequences that the second list has."""
+    """Kernels between two lists of strings, over the subsequences that the second list has, a few of its strings at a time."""
     out = np.zeros((len(a), len(b)))
-    for order in ORDERS:
-        known = np.unique(np.concatenate([x[order][0] for x in b]))
-        table = np.zeros((len(known) + 1, len(b)), np.float64)
-        for j, x in enumerate(b):
+    for order, start in itertools.product(ORDERS, range(0, len(b), COLUMNS)):
+        part = b[start : start + COLUMNS]
+        known = np.unique(np.concatenate([x[order][0] for x in part]))
+        table = np.zeros((len(known) + 1, len(part)))
+        for j, x in enumerate(part):
             keys, values = x[order]
             table[np.searchsorted(known, keys), j] = values
         for i, x in enumerate(a):
             keys, values = x[order]
             at = np.searchsorted(known, keys)
-            at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != keys)] = len(known)
-            out[i] += values @ table[at]
+            hit = known[np.minimum(at, len(known) - 1)] == keys
+            if hit.any():
+                out[i, start : start + COLUMNS] += values[hit] @ table[at[hit]]
     return out
 
 
@@ -358,9 +364,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     base = cut.agg(F.avg("toxic")).first()[0] or 0.0
     often = counted.where((F.col("t") >= LEAST) & (F.col("t") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("t"), "unit").limit(MOST_POSITIVE).collect()
     positive = sorted({r["unit"] for r in often if _by_chance(r["t"], r["n"], base) < CHANCE})
-    rare = counted.where("t = n and n >= 2").orderBy(F.desc("n"), F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE).collect()
-    rare = [r["unit"] for r in rare]
-    pool = sorted(r["unit"] for r in counted.where("t * 3 < n").orderBy(F.desc("n"), F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE).collect())
+    rare = counted.where("t = n and n >= 2").orderBy(F.desc("n"), F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE).select("unit").toArrow()["unit"].to_pylist()
+    pool = sorted(counted.where("t * 3 < n").orderBy(F.desc("n"), F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE).select("unit").toArrow()["unit"].to_pylist())
     if not positive or not pool:
         return Machine({o: np.zeros(ALPHABET**o, np.float32) for o in ORDERS}, NOTHING)
     negative = pool[:: max(1, len(pool) // HARD)]
@@ -375,9 +380,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         negative = sorted(set(negative) | hard)
         positive = sorted(set(positive) | set(sorted(liked)[:MOST_POSITIVE]))
     machine = train_machine(sorted(set(positive) | set(varied([r["unit"] for r in often if r["t"] >= WELL_KNOWN and r["unit"] in set(positive)]))), negative)
-    known = counted.where("t >= 2 and t * 3 >= n * 2").orderBy(F.desc("t"), "unit").limit(MOST_NEGATIVE).collect()
+    known = counted.where("t >= 2 and t * 3 >= n * 2").orderBy(F.desc("t"), "unit").limit(MOST_NEGATIVE).toArrow()
     machine.marks = [(r["unit"], math.log1p(r["t"])) for r in often if r["t"] >= WELL_KNOWN and r["t"] == r["n"]][:MARKS]
-    machine.support = {r["unit"]: math.log1p(r["t"]) * max(0.0, 1 - 3 * (r["n"] - r["t"]) / r["n"]) for r in known}
+    machine.support = {u: math.log1p(t) * max(0.0, 1 - 3 * (n - t) / n) for u, t, n in zip(*(known[c].to_pylist() for c in ("unit", "t", "n")), strict=True)}
     shared = spark.sparkContext.broadcast(machine)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +391,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for labels_, texts in chunks(b.column(0).to_pylist(), b.column(1)):
                 yield pa.record_batch([pa.array(labels_, pa.int64()), pa.array(scorer.evidence(texts).tolist(), pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    seen = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(tidy(evidence), "toxic long, evidence array<double>").collect()
-    y, x = np.array([r["toxic"] for r in seen], float), np.array([r["evidence"] for r in seen], float).reshape(-1, 4)
+    seen = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(tidy(evidence), "toxic long, evidence array<double>").toArrow()
+    y, x = np.array(seen["toxic"].to_pylist(), float), np.array(seen["evidence"].to_pylist(), float).reshape(-1, 4)
     if 0 < y.sum() < len(y):
         machine.curve = _logistic(x, y)
     return machine
