@@ -94,11 +94,10 @@ def sequence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark passage's damaged beginning the nearest of the stated passages."""
+    """For each benchmark passage less its last three characters the nearest three of all passages."""
     b = table(spark, sf_dir, "benchmark")
-    candidates = [r["t"] for r in b.select(F.substring("text", 1, 60).alias("t")).orderBy("item_id").limit(200).collect()]
-    wanted = b.select(F.col("item_id").alias("key"), F.reverse(F.substring(F.reverse(F.substring("text", 1, 60)), 4, 57)).alias("text"))
-    return compare.nearest(wanted, candidates)
+    wanted = b.select(F.col("item_id").alias("key"), F.reverse(F.substring(F.reverse("text"), 4, 2**31 - 1)).alias("text"))
+    return compare.nearest(wanted, b.select(F.col("text").alias("candidate")))
 
 
 @query("select count(*) as n_rows, cast(sum(length(text)) as bigint) as n_chars from documents where text <> ''")
