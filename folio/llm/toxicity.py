@@ -46,7 +46,7 @@ ROUNDS, HARD = 5, 2_000
 #: Toxic sentences from which a unit counts as well known. Such ones are also learned with a character put in, and lend their support to
 #: units whose kernel with them is ALIKE or more; so many of them do at most.
 WELL_KNOWN, ALIKE, MARKS = 20, 0.5, 200
-#: Longest unit; longer words are read in windows that overlap by half. Units whose decisions a process remembers.
+#: Longest unit; longer words are read in windows that overlap by half. Units whose decisions, or whose support by marks, a process remembers.
 LONGEST, MEMO = 24, 250_000
 #: Symbols: 0 is the mark of both ends, 1-26 are letters, the others are shared by all other characters.
 ALPHABET = 40
@@ -151,24 +151,30 @@ def explicit(strings: list[np.ndarray]) -> list[dict[int, tuple[np.ndarray, np.n
 
 @dataclass
 class Machine:
-    """Tables of subsequence weights, the constant, the curve from evidence to scores, and how well positive units are known."""
+    """Tables of subsequence weights, the constant, the curve from evidence to scores, and how well positive units are known.
+
+    ``support`` is what training learned and stays as it is; ``lent`` is a bounded memo of what other units got from the marks.
+    """
 
     tables: dict[int, np.ndarray]
     bias: float
     curve: np.ndarray = field(default_factory=lambda: np.array([4.0, 0.0, 0.0, 0.0, 0.0]))
     support: dict[str, float] = field(default_factory=dict)
     marks: list[tuple[str, float]] = field(default_factory=list)
+    lent: dict[str, float] = field(default_factory=dict)
 
     def supported(self, unit: str) -> float:
         """What the unit was learned by, or else what the well known unit most like it was, times the kernel of both."""
-        if unit not in self.support and self.marks:
+        if unit in self.support or not self.marks:
+            return self.support.get(unit, 0.0)
+        if unit not in self.lent:
             if not hasattr(self, "_rows"):
                 self._rows = explicit(coded([m for m, _ in self.marks]))
             kernels = _gram(explicit(coded([unit])), self._rows)[0] / len(ORDERS)
-            self.support[unit] = max(float(k) * s if k >= ALIKE else 0.0 for k, (_, s) in zip(kernels, self.marks, strict=True))
-            if len(self.support) > MEMO:
-                self.support = {u: s for u, s in self.marks}
-        return self.support.get(unit, 0.0)
+            if len(self.lent) >= MEMO:
+                self.lent.clear()
+            self.lent[unit] = max(float(k) * s if k >= ALIKE else 0.0 for k, (_, s) in zip(kernels, self.marks, strict=True))
+        return self.lent[unit]
 
     def decide(self, units_: list[str]) -> np.ndarray:
         strings = coded(units_)
