@@ -116,7 +116,7 @@ select doc_id, page, arg_max(n, p) || ' row(s) before the break' as message from
 def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers that the next page repeats, with fewer than three rows left on the page before."""
     c = table(spark, sf_dir, "conversations")
-    text = F.when(F.col("turn") == 1, "Item Amount").when((F.col("turn") == 4) & (F.col("conv_id") % 3 == 0), "Item Amount").otherwise(F.substring("text", 1, 10))
+    text = F.when(F.col("turn") == 1, "Item Amount").when((F.col("turn") == 4) & (F.col("conv_id") % 3 == 0), "Item Amount").otherwise(F.col("text"))
     rows = c.select(F.floor(F.col("conv_id") / 4).alias("doc_id"), (F.col("conv_id") % 4 + 1).alias("page"), F.col("turn").alias("row_ix"), F.when(F.col("turn") % 3 == 0, 1).otherwise(2).alias("n_cells"), text.alias("text"))
     return gate.split_tables(rows).select("doc_id", "page", "message")
 

@@ -6,7 +6,7 @@ import difflib
 import random
 
 from folio.operators import compare
-from folio.plans import verifying
+from folio.plans import gating, layouts, verifying
 
 
 def passages(n, seed=3):
@@ -33,3 +33,20 @@ def test_nearest_over_slices(spark, monkeypatch):
     assert find() == plain
     monkeypatch.setattr(compare, "MOST_CANDIDATES", 5)
     assert find() == plain
+
+
+def test_line_wrap_reads_past_400_characters(spark, tmp_path):
+    rows = [(1, "word " * 200), (2, "word " * 60), (3, "a b")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # Eight words of four letters and their blanks fill a line of 40.
+    assert {r["item_id"]: r["lines"] for r in layouts.line_wrap(spark, str(tmp_path)).collect()} == {1: 25, 2: 8, 3: 1}
+
+
+def test_table_split_compares_whole_rows(spark, tmp_path):
+    def table(doc, last, head):
+        """Two pages: the first ends with the row ``last``, the second begins with ``head``. No turn is 1, which has a text of its own."""
+        return [(4 * doc + 1, 2, "row"), (4 * doc + 1, 5, "row"), (4 * doc + 1, 7, last), (4 * doc + 2, 2, head)]
+
+    rows = table(1, "the header of one table", "the header of another") + table(2, "the header of one table", "the header of one table")
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [(r["doc_id"], r["page"]) for r in gating.table_split(spark, str(tmp_path)).collect()] == [(2, 2)]
