@@ -6,9 +6,9 @@ documents at a time along the null space of the balancing constraints (words and
 keeps each one's expectation, until one of them is 0 or 1. Two are left undecided when a block ends.
 
 Blocks of about BLOCK documents of one source fly in parallel; what they leave undecided is dealt into fewer blocks and flies
-again, until one block of each source is left. RESERVE documents of it, of all lengths, don't fly. With the two that flight leaves
-they are the landing problem, settled by the outcome nearest to the expected totals, so the words taken come within a few of the target
-where a source has enough documents.
+again, until one block of the source is left, whatever other sources still have. RESERVE documents of each block, of all lengths,
+don't fly. In a source's last block they and the two that flight leaves are the landing problem, settled by the outcome nearest to
+the expected totals, so the words taken come within a few of the target where a source has enough documents.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ MOST = 2.0
 BLOCK = 4096
 #: Sources up to which their table, of some 40 bytes a row, is broadcast; beyond that it is joined.
 BROADCAST_SOURCES = 100_000
-#: Documents of a source that the last flight leaves to the landing besides its own rest.
+#: Documents of a block that wait for the next flight, or in the last block for the landing, besides the flight's own rest.
 RESERVE = 12
 EDGE = 1e-9
 SEED = 17
@@ -112,24 +112,29 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def last_flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The flight of a source's last block, from which RESERVE documents of all lengths wait on the ground for the landing, and the landing."""
+def block_flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight of a block, for which RESERVE documents of all lengths wait on the ground."""
     by_size = np.argsort(size, kind="stable")
     waiting = by_size[np.unique(np.linspace(0, len(size) - 1, RESERVE).astype(int))]
     flying = np.setdiff1d(np.arange(len(size)), waiting)
     p = p.astype(float).copy()
     p[flying] = flight(p[flying], size[flying], rng)
-    return landing(p, size)
+    return p
+
+
+def last_flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight of a source's last block and the landing."""
+    return landing(block_flight(p, size, rng), size)
 
 
-def _flying(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """What a block does; the last level's blocks land as well."""
+def _flying(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a block does; a block that is its source's only one lands as well."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "size", "p"], kind="stable")
         seed = zlib.crc32(repr((pdf._s.iloc[0], bool(pdf._n.iloc[0]), int(pdf._b.iloc[0]))).encode())
         size = pdf["size"].to_numpy()
-        p = (last_flight if last else flight)(pdf.p.to_numpy(), size, np.random.default_rng([SEED, level, seed]))
+        p = (last_flight if pdf["blocks"].iloc[0] == 1 else block_flight)(pdf.p.to_numpy(), size, np.random.default_rng([SEED, level, seed]))
         return pdf.assign(p=p)[["doc_id", "size", "source_size", "target", "source", "copies", "p", "h"]]
 
     return fly
@@ -169,7 +174,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         placed = undecided.withColumns({"_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull()}).join(F.broadcast(counts) if n_sources <= BROADCAST_SOURCES else counts, ["_s", "_n"])
         placed = placed.withColumn("_b", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")).cast("int"))
 
-        flown = Spill(placed.groupBy("_s", "_n", "_b").applyInPandas(_flying(level, last), _ROWS))
+        flown = Spill(placed.groupBy("_s", "_n", "_b").applyInPandas(_flying(level), _ROWS))
         spills.append(flown)
         settled = flown.df.where("p <= 0 or p >= 1")
         done.append(settled)
