@@ -10,7 +10,7 @@ hex     ``[0-9a-f]+``, 32 characters or more
 ======  ========================================================================================================
 
 Some parts of a credential mean nothing alone: a 40-character base64 run may be anything. Such weak candidates (``key``:
-base64-like runs of 20 to 128 characters that mix cases and digits; ``ident``: a user, client or account assignment;
+base64-like runs of 20 characters or more that mix cases and digits; ``ident``: a user, client or account assignment;
 ``endpoint``: an address of a service) are joined to the other parts by intervals: parts link when they lie within
 SCOPE characters of each other in one scope (a stretch of text without an empty line). A ``key`` is reported
 only when an identifier (``access`` or ``ident``) and it link; an ``ident`` or ``endpoint`` only as part of such a group or
@@ -41,9 +41,9 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"[0-9a-f]{32,}+")
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-_IDENT = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?[ ]{0,8}[:=][ ]{0,8}["']?([A-Za-z0-9@._-]{3,64})(?![A-Za-z0-9@._-])""", re.I | re.A)
-_ENDPOINT = re.compile(r"\b(?:https?|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{3,200}")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_IDENT = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?[ ]{0,8}[:=][ ]{0,8}["']?([A-Za-z0-9@._-]{3,}+)""", re.I | re.A)
+_ENDPOINT = re.compile(r"\b(?:https?|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{3,}+")
 _BREAK = re.compile(r"\n[ \t]*+\n")
 
 
@@ -92,12 +92,19 @@ def linked(text: str, strong: list[tuple[int, str, int]], candidates: list[tuple
     def near(parts: list[tuple[int, str, int]]) -> object:
         parts = sorted(parts)
         first = [p[0] for p in parts]
-        longest = max((p[2] - p[0] for p in parts), default=0)
+        # For each part the two that reach furthest of its scope's parts so far, so a long one costs no walk.
+        reach: list[list[tuple[int, str, int]]] = []
+        for i, p in enumerate(parts):
+            before = reach[-1] if i and scope(first[i - 1]) == scope(p[0]) else []
+            reach.append(sorted([*before, p], key=lambda x: -x[2])[:2])
 
         def test(part: tuple[int, str, int]) -> bool:
             a, _, b = part
-            lo, hi = bisect.bisect_left(first, a - SCOPE - longest), bisect.bisect_right(first, b + SCOPE)
-            return any(p[2] >= a - SCOPE and scope(p[0]) == scope(a) and p != part for p in parts[lo:hi])
+            k = scope(a)
+            hi = bisect.bisect_right(first, b + SCOPE)
+            if k < len(breaks):
+                hi = min(hi, bisect.bisect_left(first, breaks[k]))
+            return hi > 0 and scope(first[hi - 1]) == k and any(p[2] >= a - SCOPE for p in reach[hi - 1] if p != part)
 
         return test
 
