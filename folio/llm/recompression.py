@@ -9,13 +9,15 @@ windows of words therefore hold the same symbols, apart from those whose reach l
 Each window of WINDOW words is filed under one symbol whose reach lies inside it: of the highest level there is, the one with
 the least hash. As this choice depends on the window's words alone, equal windows are filed under equal names. So only
 windows whose name occurs twice anywhere can repeat. Consecutive windows under one symbol make a cluster; clusters with
-equal words are folded together. Where clusters of one name differ, their windows' own hashes decide.
+equal words are folded together. Where clusters of one name differ, their windows' own words decide.
+
+Symbols' names have 64 bits, and only propose. What decides, words of clusters and of windows, is compared by names of 128 bits that
+rest on a cryptographic hash of each word.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import Spill, checkpoint, chunks, tidy
-from folio.llm.hashing import Sums, mix, word_hashes
+from folio.llm.hashing import Stretches, Words, mix
 
 U = np.uint64
 WINDOW = 35
 ROUNDS = 5
-#: Bytes of text that are renamed at once.
+#: Bytes of text that are renamed at once, and words of one text; a longer text is renamed in stretches that share WINDOW - 1 words.
 BYTES = 1 << 20
+SEGMENT = 1 << 18
 
 
 class Level:
@@ -107,7 +110,7 @@ def levels(words: np.ndarray) -> list[Level]:
     return out
 
 
-#: Low bits that hold a symbol's place in its batch, in values whose high bits are its hash; a batch has fewer symbols than that.
+#: Low bits that hold a symbol's place among those renamed at once, in values whose high bits are its hash; SEGMENT and BYTES keep them fewer.
 _PLACE = U((1 << 24) - 1)
 
 
@@ -128,40 +131,62 @@ def _least_in(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return (out & _PLACE).astype(np.int64)
 
 
-def clusters(words: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The clusters of a batch: name, words' hash, document, first window, windows, the symbol's offset from it, its reach.
+def clusters(lanes: tuple[np.ndarray, np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The clusters of a batch: name, both halves of the words' name, document, first window, windows, the symbol's offset from it, its reach.
 
-    ``limits``: where each document's words start, and the end.
+    ``limits``: where each document's words start, and the end. Each window is in one stretch of SEGMENT windows; as names don't
+    depend on what lies outside a window, it doesn't matter where stretches end.
     """
+    found = []
+    first = 0
+    while first < len(limits) - 1:
+        last = max(first + 1, int(np.searchsorted(limits, limits[first] + SEGMENT, "right")) - 1)
+        begin, end = int(limits[first]), int(limits[last])
+        if last > first + 1 or end - begin <= SEGMENT:
+            found.append(_clusters(lanes, limits[first : last + 1], first, 0))
+        else:
+            found += [_clusters(lanes, np.array([at, min(end, at + SEGMENT + WINDOW - 1)]), first, at - begin) for at in range(begin, end, SEGMENT)]
+        first = last
+    if not found:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, U), none, none, none, none, none
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _clusters(lanes: tuple[np.ndarray, np.ndarray], limits: np.ndarray, doc_from: int, window_from: int) -> tuple[np.ndarray, ...]:
+    """Those of the words within ``limits``; documents and windows are numbered from doc_from and window_from."""
+    first, second = (lane[limits[0] : limits[-1]] for lane in lanes)
+    limits = limits - limits[0]
     room = np.maximum(np.diff(limits) - WINDOW + 1, 0)
     doc = np.repeat(np.arange(len(room)), room)
+    if not len(doc):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, U), none, none, none, none, none
     window = np.arange(len(doc)) - np.repeat(np.cumsum(room) - room, room) + limits[:-1][doc]
     label, low_of, reach = np.zeros(len(doc), U), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     pending = np.arange(len(doc))
-    for number, level in reversed(list(enumerate(levels(words))) if len(doc) else []):
+    for number, level in reversed(list(enumerate(levels(first)))):
         # Reaches start and end in the order of their symbols, so a window's candidates are neighbours.
         fits = level.high - level.low <= WINDOW
         if not len(pending) or not fits.any():
             continue
         low, high, name = level.low[fits], level.high[fits], level.name[fits]
         at = window[pending]
-        first, last = np.searchsorted(low, at, "left"), np.searchsorted(high, at + WINDOW, "right") - 1
-        has = first <= last
+        begin, last = np.searchsorted(low, at, "left"), np.searchsorted(high, at + WINDOW, "right") - 1
+        has = begin <= last
         if has.any():
-            best = _least_in(mix(name + U(77)), first[has], last[has])
+            best = _least_in(mix(name + U(77)), begin[has], last[has])
             done = pending[has]
             label[done], low_of[done], reach[done] = mix(name[best] + U(number)), low[best], high[best] - low[best]
             pending = pending[~has]
-    if not len(doc):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, U), np.zeros(0, U), none, none, none, none, none
     new = np.ones(len(doc), bool)
     new[1:] = (label[1:] != label[:-1]) | (low_of[1:] != low_of[:-1]) | (reach[1:] != reach[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(doc)))
     start = window[head]
-    text = mix(Sums(words).of(start, start + count + WINDOW - 1) + (low_of[head] - start).astype(U))
-    return label[head], text, doc[head], start - limits[:-1][doc[head]], count, low_of[head] - start, reach[head]
+    offset = low_of[head] - start
+    halves = [mix(Stretches(lane).of(start, start + count + WINDOW - 1) + offset.astype(U)) for lane in (first, second)]
+    return label[head], *halves, doc[head] + doc_from, start - limits[:-1][doc[head]] + window_from, count, offset, reach[head]
 
 
 def _packed(start, count, offset, reach):
@@ -178,74 +203,85 @@ def _count(place: str) -> Column:
 
 
 def _filed(docs: DataFrame) -> DataFrame:
-    """name, text, doc, tag, place of every cluster of rows doc, tag, text."""
+    """name, words and more (both halves of the words' name), doc, tag, place of every cluster of rows doc, tag, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             for part, texts in chunks(rows, b.column(2), BYTES):
-                name, text, at, *place = clusters(*word_hashes(texts))
+                words = Words(texts)
+                name, half, other, at, *place = clusters(words.names(), words.limits)
                 ids = [np.array(x, np.int64)[at] if len(x) else np.zeros(0, np.int64) for x in zip(*part, strict=True)]
-                yield pa.record_batch([pa.array(name.astype(np.int64)), pa.array(text.astype(np.int64)), pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(_packed(*place))], names=["name", "words", "doc", "tag", "place"])
+                yield pa.record_batch([*(pa.array(x.astype(np.int64)) for x in (name, half, other)), pa.array(ids[0]), pa.array(ids[1]), pa.array(_packed(*place))], names=["name", "words", "more", "doc", "tag", "place"])
 
-    return docs.mapInArrow(tidy(run), "name long, words long, doc long, tag int, place long")
+    return docs.mapInArrow(tidy(run), "name long, words long, more long, doc long, tag long, place long")
 
 
 def _around(joined: DataFrame) -> DataFrame:
-    """For each cluster that stands for its group (doc, tag, text, places: array of place and weight): hashes of its windows, and of
+    """For each cluster that stands for its group (doc, tag, text, places: array of place and weight): names of its windows, and of
     its symbol with so many words to the left or to the right that equal windows agree in one of both."""
 
+    def one(lanes: list[np.ndarray], limits: np.ndarray, ids: list[np.ndarray], doc: np.ndarray, place: np.ndarray, weight: np.ndarray, skipped: int) -> pa.RecordBatch:
+        start = (place >> 24) - skipped + limits[:-1][doc]
+        count, offset, reach = (place >> 16) & 255, (place >> 8) & 255, place & 255
+        first, second = (Stretches(lane) for lane in lanes)
+        low, high = start + offset, start + offset + reach
+        left = (WINDOW - reach + 1) // 2
+        right = WINDOW - reach - left + 1
+        salt = reach.astype(U)
+        ok_left, ok_right = low - left >= limits[:-1][doc], high + right <= limits[1:][doc]
+        from_left = mix(first.of(np.maximum(low - left, 0), high) + salt).astype(np.int64)
+        from_right = mix(first.of(low, np.minimum(high + right, limits[-1])) ^ (salt + U(0x5555))).astype(np.int64)
+        ends = np.cumsum(count)
+        window = np.repeat(start - ends + count, count) + np.arange(int(ends[-1]))
+        halves = [pa.array(s.of(window, window + WINDOW).astype(np.int64)) for s in (first, second)]
+        windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.StructArray.from_arrays(halves, names=["h", "i"]))
+        return pa.record_batch([pa.array(ids[0][doc]), pa.array(ids[1][doc]), pa.array(place), pa.array(weight), pa.array(from_left, mask=~ok_left), pa.array(from_right, mask=~ok_right), windows], names=["doc", "tag", "place", "c", "l", "r", "windows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True))
             for part, texts in chunks(rows, b.column(2), BYTES):
-                words, limits = word_hashes(texts)
+                found = Words(texts)
+                lanes, limits = found.names(), found.limits
                 lists = [p.values for _, _, p in part]
-                sizes = np.array([len(x) for x in lists])
                 packed = pa.concat_arrays(lists)
                 place, weight = np.asarray(packed.field("place")), np.asarray(packed.field("c"))
-                doc = np.repeat(np.arange(len(part)), sizes)
-                start = (place >> 24) + limits[:-1][doc]
-                count, offset, reach = (place >> 16) & 255, (place >> 8) & 255, place & 255
-                sums = Sums(words)
-                low, high = start + offset, start + offset + reach
-                left = (WINDOW - reach + 1) // 2
-                right = WINDOW - reach - left + 1
-                salt = reach.astype(U)
-                ok_left, ok_right = low - left >= limits[:-1][doc], high + right <= limits[1:][doc]
-                from_left = mix(sums.of(np.maximum(low - left, 0), high) + salt).astype(np.int64)
-                from_right = mix(sums.of(low, np.minimum(high + right, len(words))) ^ (salt + U(0x5555))).astype(np.int64)
-                ends = np.cumsum(count)
-                window = np.repeat(start - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
-                windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(sums.of(window, window + WINDOW).astype(np.int64)))
-                ids = [np.array(x, np.int64)[doc] for x in list(zip(*part, strict=True))[:2]]
-                yield pa.record_batch([pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(place), pa.array(weight), pa.array(from_left, mask=~ok_left), pa.array(from_right, mask=~ok_right), windows], names=["doc", "tag", "place", "c", "l", "r", "windows"])
-
-    return joined.select("doc", "tag", "text", "places").mapInArrow(tidy(run), "doc long, tag int, place long, c long, l long, r long, windows array<long>")
+                doc = np.repeat(np.arange(len(part)), [len(x) for x in lists])
+                ids = [np.array(x, np.int64) for x in list(zip(*part, strict=True))[:2]]
+                if len(part) > 1 or limits[-1] <= SEGMENT:
+                    yield one(lanes, limits, ids, doc, place, weight, 0)
+                    continue
+                # One long text: stretch by stretch, each with the words around it that its clusters and windows may need.
+                stretch = (place >> 24) // SEGMENT
+                for k in np.unique(stretch).tolist():
+                    at = stretch == k
+                    a, z = max(0, k * SEGMENT - WINDOW), min(int(limits[-1]), (k + 1) * SEGMENT + 256 + 2 * WINDOW)
+                    yield one([lane[a:z] for lane in lanes], np.array([0, z - a]), ids, doc[at], place[at], weight[at], a)
+
+    return joined.select("doc", "tag", "text", "places").mapInArrow(tidy(run), "doc long, tag long, place long, c long, l long, r long, windows array<struct<h: long, i: long>>")
 
 
 def _cut(joined: DataFrame, texts: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept of rows doc_id, text, spans (array of first window and windows)."""
 
-    def one(text: bytes | None, spans: pa.Array | None) -> tuple[int, int, bytes]:
-        words = (text or b"").split()
-        if spans is None or not len(spans):
-            return len(words), 0, b" ".join(words)
-        start, count = np.asarray(spans.field("a")), np.asarray(spans.field("n"))
-        gone = np.zeros(len(words) + 1, np.int64)
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + count + WINDOW - 1, -1)
-        stays = np.cumsum(gone)[:-1] == 0
-        return len(words), int((~stays).sum()), b" ".join(itertools.compress(words, stays.tolist()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(b.column(0).to_pylist(), b.column(2), strict=True))
             for part, values in chunks(rows, b.column(1), BYTES):
-                got = [one(t, p.values) for t, (_, p) in zip(values, part, strict=True)]
-                arrays = [pa.array([i for i, _ in part], pa.int64()), pa.array([n for n, _, _ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for _, _, k in got], pa.string())]
+                words = Words(values)
+                marks = np.zeros(len(words) + 1, np.int64)
+                for (_, spans), first in zip(part, words.limits[:-1].tolist(), strict=True):
+                    if spans.values is not None and len(spans.values):
+                        start, count = np.asarray(spans.values.field("a")) + first, np.asarray(spans.values.field("n"))
+                        np.add.at(marks, start, 1)
+                        np.add.at(marks, start + count + WINDOW - 1, -1)
+                gone = np.cumsum(marks)[:-1] > 0
+                removed = np.concatenate([[0], np.cumsum(gone)])[words.limits]
+                kept = words.without(gone)
+                arrays = [pa.array([i for i, _ in part], pa.int64()), pa.array(np.diff(words.limits)), pa.array(np.diff(removed)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 if texts:
-                    arrays.append(pa.array([k.decode("utf-8", "replace") for _, _, k in got], pa.string()))
+                    arrays.append(pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()))
                 yield pa.record_batch(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(arrays)])
 
     return joined.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
@@ -256,30 +292,37 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs that aren't ASCII white space, unchanged. A word goes if a window of WINDOW consecutive words over it also
     starts anywhere else, in the same document or another; all windows are judged on the input. Null, empty and short
-    texts lose nothing, rows that repeat are each other's repeats, extra columns are ignored, an empty table gives an empty one.
+    texts lose nothing, a text of any length is read whole. Rows that repeat are each other's repeats, so all words of both go if they have
+    WINDOW or more. Rows without an id, or with one id and different texts, are documents of their own. Ties don't occur: nothing is
+    chosen. Extra columns are ignored, whatever their names; an empty table gives an empty one.
     """
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)).alias("doc"), (F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")) % (1 << 31)).cast("int").alias("tag"), F.col(f"`{text}`").cast("binary").alias("text"))
+    ident, value = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    # A document is named by its id and a hash of its text; without an id by two hashes, so that only equal texts share a name.
+    source = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.xxhash64(F.lit(1), value)).alias("doc"), F.xxhash64(F.lit(2), ident.isNull(), value).alias("tag"), value.cast("binary").alias("text"))
     filed = Spill(_filed(source.select("doc", "tag", "text")))
-    names = Spill(filed.df.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("x"), F.max("words").alias("y")).where("n > 1").select("name", F.expr("x <> y").alias("differ")))
+    differ = F.expr("min(words) <> max(words) or min(more) <> max(more)")
+    names = Spill(filed.df.groupBy("name").agg(F.count("*").alias("n"), differ.alias("differ")).where("n > 1").select("name", "differ"))
     hits = Spill(filed.df.join(names.df, "name"))
     filed.drop()
     names.drop()
     # All clusters of a name have the same words: each of their windows repeats.
     sure = hits.df.where("not differ").select("doc", "tag", "place")
     differ = hits.df.where("differ")
-    groups = Spill(differ.groupBy("name", "words").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tag", "place")).alias("one")))
-    equal = differ.join(groups.df.where("c > 1").select("name", "words"), ["name", "words"]).select("doc", "tag", "place")
+    groups = Spill(differ.groupBy("name", "words", "more").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tag", "place")).alias("one")))
+    equal = differ.join(groups.df.where("c > 1").select("name", "words", "more"), ["name", "words", "more"]).select("doc", "tag", "place")
     # One cluster of each group stands for it, with the group's size as weight.
     wanted = groups.df.select("one.doc", "one.tag", "one.place", "c").groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "c")).alias("places"))
     around = Spill(_around(source.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"])))
     sides = around.df.select("doc", "tag", "place", F.explode(F.array("l", "r")).alias("side")).where("side is not null")
     shared = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
     alike = sides.join(checkpoint(shared), "side", "left_semi").select("doc", "tag", "place").distinct()
-    windows = Spill(around.df.join(alike, ["doc", "tag", "place"]).select("doc", "tag", "c", _start("place").alias("a"), F.posexplode("windows").alias("k", "h")).select("doc", "tag", "c", (F.col("a") + F.col("k")).alias("a"), "h"))
-    twice = checkpoint(windows.df.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h"))
-    single = windows.df.where("c = 1").join(twice, "h", "left_semi").select("doc", "tag", "a", F.lit(1).cast("long").alias("n"))
+    exploded = around.df.join(alike, ["doc", "tag", "place"]).select("doc", "tag", "c", _start("place").alias("a"), F.posexplode("windows").alias("k", "w"))
+    windows = Spill(exploded.select("doc", "tag", "c", (F.col("a") + F.col("k")).alias("a"), "w.h", "w.i"))
+    twice = checkpoint(windows.df.groupBy("h", "i").agg(F.sum("c").alias("n")).where("n > 1").select("h", "i"))
+    single = windows.df.where("c = 1").join(twice, ["h", "i"], "left_semi").select("doc", "tag", "a", F.lit(1).cast("long").alias("n"))
     spans = sure.unionAll(equal).select("doc", "tag", _start("place").alias("a"), _count("place").alias("n")).unionAll(single)
-    by_doc = checkpoint(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "n")).alias("spans")))
+    # Rows that repeat have the same spans, which count once.
+    by_doc = checkpoint(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("a", "n")).alias("spans")))
     for s in (hits, groups, around, windows):
         s.drop()
     return _cut(source.join(by_doc, ["doc", "tag"], "left"), texts)
