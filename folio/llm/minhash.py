@@ -18,13 +18,14 @@ bounded by documents and by shingles. Blocks return spanning forests and never a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.blockwise import by_group, forest, group_starts, inner_pairs, labels_of
 from folio.llm.common import CHUNK, Spill, checkpoint, chunks, release, tidy
 from folio.llm.components import components
 from folio.llm.hashing import Stretches, Words, mix
@@ -219,21 +220,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ia", "ib").mapInArrow(tidy(run), "a long, b long")
 
 
-def _inner_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs within consecutive groups, PAIRS or one row's at a time."""
-    row = np.repeat(starts + sizes, sizes) - np.arange(starts[0], starts[0] + sizes.sum()) - 1
-    index = np.arange(starts[0], starts[0] + sizes.sum())
-    done = np.concatenate([[0], np.cumsum(row)])
-    at = 0
-    while at < len(index):
-        end = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
-        many = row[at:end]
-        left = np.repeat(index[at:end], many)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-        yield left, right
-        at = end
-
-
 def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
     """id, cluster: documents of different components of one bucket (members: key, id, component) that candidate pairs chain together
     in one pair of blocks. A pair counts in the first bucket that it shares."""
@@ -247,80 +233,20 @@ def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
     def compare(group: pa.Table) -> pa.RecordBatch:
         key, lo, hi, part, ids, component, n = (group.column(i).to_numpy() for i in range(7))
         extra, sig = _arrays(group.column(7), np.uint8, BINS), _arrays(group.column(8), "<u2", SYMBOLS)
-        starts = _group_starts(key, lo, hi)
+        starts = group_starts(key, lo, hi)
         found = [np.zeros((2, 0), np.int64)]
-        for x, y in _inner_pairs(starts, np.diff(np.append(starts, len(key)))):
+        for x, y in inner_pairs(starts, np.diff(np.append(starts, len(key))), PAIRS):
             ok = (component[x] != component[y]) & ((lo[x] == hi[x]) | (part[x] != part[y]))
             x, y = x[ok], y[ok]
             ok = _passing((n[x], n[y]), (extra[x], extra[y]))
             x, y = x[ok], y[ok]
             ok = first_shared(sig[x], sig[y]) == key[x] % SYMBOLS
             found.append(np.stack([x[ok], y[ok]]))
-        rows, root = _labels(np.concatenate(found, axis=1))
+        rows, root = labels_of(np.concatenate(found, axis=1))
         name = mix(key.astype(np.uint64)[root] ^ mix((lo[root] << 32 | hi[root]).astype(np.uint64) ^ mix(ids[root].astype(np.uint64))))
         return pa.record_batch([pa.array(ids[rows]), pa.array(name.astype(np.int64))], names=["id", "cluster"])
 
-    return _by_group(placed, compare, "id long, cluster long")
-
-
-def _group_starts(*keys: np.ndarray) -> np.ndarray:
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.flatnonzero(new)
-
-
-def _labels(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a graph given by its edges, and for each the smallest node of its component."""
-    ids, ends = np.unique(pairs, return_inverse=True)
-    x, y = ends.reshape(pairs.shape)
-    label = np.arange(len(ids))
-    while True:
-        new = label.copy()
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            return ids, ids[label]
-        label = new
-
-
-def _forest(pairs: np.ndarray) -> pa.RecordBatch:
-    """Spanning edges (a, b), b the smallest of its component, of a graph given by its edges."""
-    ids, root = _labels(pairs)
-    at = ids != root
-    return pa.record_batch([pa.array(ids[at], pa.int64()), pa.array(root[at], pa.int64())], names=["a", "b"])
-
-
-def _by_group(placed: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str = "a long, b long") -> DataFrame:
-    """What ``work`` finds in whole groups; the first three columns of ``placed`` name a row's group, the fifth its id.
-
-    Groups are streamed from sorted partitions, many small ones at once, so a small group costs no call of its own.
-    """
-    names = placed.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = [np.asarray(b.column(i)) for i in range(3)]
-            if held and last != tuple(k[0] for k in keys):
-                yield work(pa.Table.from_batches(held).combine_chunks())
-                held = []
-            cut = int(_group_starts(*keys)[-1])
-            if cut:
-                yield work(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks())
-                held = []
-            held.append(b.slice(cut))
-            last = tuple(k[-1] for k in keys)
-        if held:
-            yield work(pa.Table.from_batches(held).combine_chunks())
-
-    return placed.repartition(*names[:3]).sortWithinPartitions(*names[:3], names[4]).mapInArrow(tidy(run), schema)
+    return by_group(placed, compare, "id long, cluster long")
 
 
 def _linked_sets(items: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -358,16 +284,16 @@ def _inside(clusters: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataF
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         cluster, lo, hi, part, ids, component = (group.column(i).to_numpy() for i in range(6))
-        starts = _group_starts(cluster, lo, hi)
+        starts = group_starts(cluster, lo, hi)
         found = [np.zeros((2, 0), np.int64)]
         for a, z in zip(starts, np.append(starts[1:], len(ids)), strict=True):
             linked = _linked_sets([_halves(x) for x in group.column(6).slice(a, z - a)])
             x, y = np.nonzero(np.triu(linked, 1))
             ok = (component[a:z][x] != component[a:z][y]) & ((lo[a] == hi[a]) | (part[a:z][x] != part[a:z][y]))
             found.append(np.stack([ids[a:z][x[ok]], ids[a:z][y[ok]]]))
-        return _forest(np.concatenate(found, axis=1))
+        return forest(np.concatenate(found, axis=1))
 
-    return _by_group(placed, compare)
+    return by_group(placed, compare)
 
 
 class _Sets:

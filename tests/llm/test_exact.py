@@ -9,8 +9,8 @@ import random
 import numpy as np
 import pytest
 
-from folio.llm import hashing, minhash, recompression
-from tests.llm.test_dedup import Union, brute_repeats
+from folio.llm import embed_dedup, hashing, minhash, recompression
+from tests.llm.test_dedup import Union, brute_repeats, brute_vectors
 
 
 def thue_morse(n, letters="ab"):
@@ -118,3 +118,11 @@ def test_first_shared_key():
     wanted = np.where(shared.any(axis=1), shared.argmax(axis=1), minhash.SYMBOLS)
     assert minhash.first_shared(x, y).tolist() == wanted.tolist()
     assert (minhash.keys_of(x) % minhash.SYMBOLS == np.arange(minhash.SYMBOLS)).all()
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (1, [0.0, 1.0]), (3, [0.01, 1.0]), (4, [0.02, 1.0]), (5, [-1.0, 0.0]), (5, None), (5, [-1.0, 0.0]), (6, [-1.0, 0.3]), (7, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([*rows, (None, [1.0, 0.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in embed_dedup.links(df).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute_vectors(rows)
+    assert [r for r in got if r[0] is None] == [(None, 0, None, True)]
