@@ -25,12 +25,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
-    jsc = spark.sparkContext._jsc.sc()
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a temporary one is set if all runs on this machine; executors
+    elsewhere couldn't share it, so on a cluster that is an error."""
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+    if not named and not jsc.isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
 

@@ -131,26 +131,27 @@ def _flying(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """What a block does; a block that is its source's only one lands as well."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size", "p"], kind="stable")
+        pdf = pdf.sort_values(["h", "doc_id", "size", "p", "t"], kind="stable")
         seed = zlib.crc32(repr((pdf._s.iloc[0], bool(pdf._n.iloc[0]), int(pdf._b.iloc[0]))).encode())
         size = pdf["size"].to_numpy()
         p = (last_flight if pdf["blocks"].iloc[0] == 1 else block_flight)(pdf.p.to_numpy(), size, np.random.default_rng([SEED, level, seed]))
-        return pdf.assign(p=p)[["doc_id", "size", "source_size", "target", "source", "copies", "p", "h"]]
+        return pdf.assign(p=p)[["doc_id", "size", "source_size", "target", "source", "copies", "p", "h", "t"]]
 
     return fly
 
 
-_ROWS = "doc_id long, size long, source_size long, target double, source string, copies long, p double, h long"
+_ROWS = "doc_id long, size long, source_size long, target double, source string, copies long, p double, h long, t long"
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source_size, target (words, of the document's source), taken (words the mix takes, repeats counted), copies, source.
+    """doc_id, size, source_size, target (words, of the document's source), taken (words the mix takes, repeats counted), copies, source, t
+    (a hash of the text).
 
     One row for each row of ``docs``, rows that repeat being separate documents. Null and blank texts have size 0 and take 0 words. A null source
     is a source. Reruns agree, whatever the partitions: documents fly in the order of a hash of their ids. Extra columns are ignored; an
     empty table gives an empty one. A source of any size is dealt into blocks; nothing of a source is gathered but its totals.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
     sized = Spill(rows)
     goal = checkpoint(targets(sized.df, weights, share, most))
     n_sources = goal.count()
@@ -159,7 +160,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     small = F.broadcast(keyed) if n_sources <= BROADCAST_SOURCES else keyed
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sized.df.withColumns({"_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull()}).join(small, ["_s", "_n"])
-    start = joined.withColumn("rate", rate).select("doc_id", "size", "source_size", "target", "source", F.floor(F.col("rate") + EDGE).cast("long").alias("copies"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + EDGE)).alias("p"), F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size")).alias("h"))
+    start = joined.withColumn("rate", rate).select("doc_id", "size", "source_size", "target", "source", F.floor(F.col("rate") + EDGE).cast("long").alias("copies"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + EDGE)).alias("p"), F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size")).alias("h"), "t")
     now = Spill(start)
     sized.drop()
     done: list[DataFrame] = [now.df.where(f"p <= {EDGE}")]
@@ -185,19 +186,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     for d in done[1:]:
         out = out.unionAll(d)
     copies = F.col("copies") + F.col("p").cast("long")
-    result = checkpoint(out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source"))
+    result = checkpoint(out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "t"))
     for s in spills:
         s.drop()
     return result
 
 
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them; columns as they are.
+    """The rows of ``docs`` that the mix takes, as often as it takes them; columns as they are, whatever their names.
 
-    Rows that repeat an id are told apart by their place among them, by size and source; equal ones can stand for each other.
+    Rows are found again by id, source and a hash of the text, so rows without an id spread as well. Only rows equal in all
+    three are numbered, and stand for each other. An empty table gives an empty one.
     """
-    own = Window.partitionBy("_i").orderBy("_z", "_c")
-    left = docs.withColumns({"_i": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)), "_z": size_of(F.col(f"`{text}`")), "_c": F.col(f"`{source}`")})
-    right = mix(docs, doc_id, text, source).select(F.coalesce("doc_id", F.lit(-1)).alias("_i"), F.col("size").alias("_z"), F.col("source").alias("_c"), F.col("copies").alias("_copies"))
-    joined = left.withColumn("_k", F.row_number().over(own)).join(right.withColumn("_k", F.row_number().over(own)).select("_i", "_k", "_copies"), ["_i", "_k"])
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ident, value, kind = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"), F.col(f"`{source}`")
+    keys = ["i", "no_i", "t", "s", "no_s", "k"]
+    named = lambda i, t, s: [F.coalesce(i, F.lit(0)).alias("i"), i.isNull().alias("no_i"), t.alias("t"), F.coalesce(s, F.lit("")).alias("s"), s.isNull().alias("no_s")]
+    place = F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy("i"))
+    left = docs.select(*named(ident, F.xxhash64(value), kind), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("k", place)
+    right = mix(docs, doc_id, text, source).select(*named(F.col("doc_id"), F.col("t"), F.col("source")), "copies").withColumn("k", place)
+    joined = left.join(right.where("copies > 0"), keys).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select("row.*")

@@ -38,7 +38,8 @@ ORDERS = (3, 4)
 DECAY, GAPS = 0.5, 3
 #: A score from which a document counts as toxic.
 CUT = 0.7
-#: Labelled documents, by a hash of their ids, from which the machine learns at most; units it looks at, and landmarks.
+#: Labelled documents, by a hash of their ids, from which the machine learns at most; of their units it learns from so many positive and
+#: negative ones at most, the most frequent first; and landmarks.
 MOST_DOCS, MOST_POSITIVE, MOST_NEGATIVE, LANDMARKS = 20_000, 3_000, 150_000, 400
 #: Toxic sentences that a positive unit is met in, the share of its sentences that must be toxic, and how unlikely that must be by chance.
 LEAST, LEAST_SHARE, CHANCE = 4, 0.8, 1e-6
@@ -277,8 +278,8 @@ def _gram(a: list[dict], b: list[dict]) -> np.ndarray:
     return out
 
 
-def train_machine(positive: list[str], negative: list[str]) -> Machine:
-    """A linear machine in the Nystroem space of landmarks from both sides."""
+def _expansion(positive: list[str], negative: list[str]) -> tuple[list[dict], np.ndarray, float]:
+    """A linear machine in the Nystroem space of landmarks from both sides: the landmarks, their weights and the constant."""
     strings = positive + negative
     rows = explicit(coded(strings))
     half = LANDMARKS // 2
@@ -302,12 +303,17 @@ def train_machine(positive: list[str], negative: list[str]) -> Machine:
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
-    beta = root @ w[:-1]
+    return landmarks, root @ w[:-1], float(w[-1])
+
+
+def train_machine(positive: list[str], negative: list[str]) -> Machine:
+    """The machine of the expansion, its sum of kernels tabulated by subsequences."""
+    landmarks, beta, bias = _expansion(positive, negative)
     tables = {o: np.zeros(ALPHABET**o, np.float32) for o in ORDERS}
     for b, mark in zip(beta, landmarks, strict=True):
         for o, (keys, v) in mark.items():
             tables[o][keys] += b * v
-    return Machine(tables, float(w[-1]))
+    return Machine(tables, bias)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -332,8 +338,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _by_chance(t: int, n: int, base: float) -> float:
-    """Probability that t or more of n sentences are toxic if each is with probability ``base``."""
-    return sum(math.comb(n, k) * base**k * (1 - base) ** (n - k) for k in range(t, n + 1)) if n <= 400 else 0.0
+    """Probability that t or more of n sentences are toxic if each is with probability ``base``; summed from logarithms, so for any n."""
+    if t <= 0 or not 0 < base < 1:
+        return float(t <= 0 or base >= 1)
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(base) + (n - k) * math.log1p(-base)
+    return min(1.0, sum(math.exp(log(k)) for k in range(t, n + 1)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -344,13 +353,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """Learns from labelled rows that aren't held out, MOST_DOCS at most, the first by a hash of their ids.
 
-    Null labels and ids are left out. Without toxic or without clean rows the machine scores every text as clean.
+    Null labels and ids are left out; of several labels of one id the largest counts, of several texts the one with the least hash. Whole
+    texts are read; equal sentences count once. Without toxic or without clean rows, as in empty tables, the machine scores every text as
+    clean. Extra columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     marked = labels.where(~held_out(doc_id)).where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_toxic"))
     # Bounded by MOST_DOCS rows of two numbers, so it can be broadcast.
     chosen = checkpoint(marked.orderBy(F.xxhash64("_id"), "_id").limit(MOST_DOCS))
-    own = checkpoint(docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id"))
+    found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id")
+    own = checkpoint(found.groupBy("_id", "_toxic").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("m")).select("_toxic", "m._text"))
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,7 +377,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             found = [(u, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for u in sorted(units(t))]
             yield pa.record_batch([pa.array([u for u, _ in found], pa.string()), pa.array([y for _, y in found], pa.int64())], names=["unit", "toxic"])
 
-    cut = own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(tidy(sentences), "sentence string, toxic long").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    cut = checkpoint(own.select(F.col("_toxic").cast("long"), "_text").mapInArrow(tidy(sentences), "sentence string, toxic long").groupBy("sentence").agg(F.min("toxic").alias("toxic")))
     counted = checkpoint(cut.mapInArrow(tidy(words), "unit string, toxic long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")))
     base = cut.agg(F.avg("toxic")).first()[0] or 0.0
     often = counted.where((F.col("t") >= LEAST) & (F.col("t") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("t"), "unit").limit(MOST_POSITIVE).collect()
@@ -408,7 +420,11 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sco
 
 
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, evidence: a row for each row of ``docs``, whole texts, no shuffle; null and empty texts have the least evidence."""
+    """doc_id, score, evidence: a row for each row of ``docs``, whole texts, no shuffle.
+
+    Null and empty texts have the least evidence. A score depends on its text and the machine only, so equal texts and rows that repeat
+    score alike. Extra columns are ignored, whatever their names; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def setup():
