@@ -163,7 +163,8 @@ SCHEMA = T.StructType(
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: counts of the base kinds, a digest of their spans, all spans, how many were linked.
 
-    Null and empty texts have none. Whole texts are searched; repeated rows give repeated rows; other columns are ignored.
+    Null and empty texts have none; null ids stay null. Whole texts are searched, parts of any length; repeated rows give repeated rows. Spans that
+    start together come in the order of KINDS. Other columns are ignored, whatever their names; an empty table gives an empty one.
     No shuffle: a scope never leaves its document, so the interval join is done where the text is.
     """
 
@@ -185,7 +186,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret in ``text`` masked; all other columns and rows as they are, null texts null."""
+    """``docs`` with every secret in ``text`` masked; all other columns and rows as they are, null texts null, an empty table empty."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,15 +147,24 @@ def _cosines() -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=4096)
 def _low_of(n: int) -> np.ndarray:
-    """LOW x n: area means to SIDE values, then the low cosine frequencies."""
+    """LOW x n: area means to SIDE values, then the low cosine frequencies. Tables of up to MOST_KEPT columns are kept, 32 MB of them at most."""
+    return _kept_low(n) if n <= MOST_KEPT else _make_low(n)
+
+
+MOST_KEPT = 1024
+
+
+def _make_low(n: int) -> np.ndarray:
     edges = np.arange(SIDE + 1) * n / SIDE
     cell = np.arange(n)
     share = np.clip(np.minimum(edges[1:, None], cell + 1) - np.maximum(edges[:-1, None], cell), 0, None)
     return _cosines() @ (share / share.sum(axis=1, keepdims=True))
 
 
+_kept_low = functools.lru_cache(maxsize=512)(_make_low)
+
+
 def dct_hash(pixels: np.ndarray, channels: int = CHANNELS) -> bytes:
     """Eight bytes, equal for equal pictures and close for pictures that look alike."""
     rows, width = pixels.shape
@@ -183,8 +192,8 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, n_bytes (of the text, unpadded), media (a PNG in a binary column).
 
     Every row gives one row, repeated rows as often as they stand. Null and empty texts give a picture of one row of
-    spaces. A text of any length is one picture, whole. Other columns of ``docs`` are ignored. No shuffle; memory follows
-    the longest text.
+    spaces. A text of any length is one picture, whole. Other columns of ``docs`` are ignored, whatever their names; an empty table
+    gives an empty one; there are no ties. No shuffle; memory follows the longest text.
     """
 
     def work(ids: list, texts: list) -> dict[str, list]:
@@ -214,7 +223,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """Reads the stored pictures back: payload digests, the last 16 payload bytes' CRC-32, and the cosine hash.
 
     ``media`` has doc_id, n_bytes and media. A null or broken picture gives a row with null digests and the reason in
-    ``broken``, which is null for a sound one.
+    ``broken``, which is null for a sound one. Rows that repeat give rows that repeat; an empty table gives an empty one; other columns are ignored.
     """
     import pyarrow as pa
 

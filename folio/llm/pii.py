@@ -162,8 +162,8 @@ SCHEMA = T.StructType(
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: counts by kind, a digest of the base spans, all spans and a score for each.
 
-    Null and empty texts have no spans. Whole texts are searched, however long; repeated rows give repeated rows; other
-    columns are ignored. ``scores`` are in the order of ``spans``: CONFIRMED or PROPOSED, moved by context words. A low
+    Null and empty texts have no spans. Whole texts are searched, however long; null ids stay null; repeated rows give repeated rows; other
+    columns are ignored, whatever their names; an empty table gives an empty one. Spans that start together come by kind. ``scores`` are in the order of ``spans``: CONFIRMED or PROPOSED, moved by context words. A low
     score never drops a base span. No shuffle.
     """
 

@@ -5,8 +5,9 @@ The model file's protobuf is parsed by hand: pieces with scores and types, train
 metaspace marker), and the model, which is Unigram with its scores, or BPE whose merges follow from the scores. Bytes that no piece covers fall back to byte pieces.
 
 A text is cut before each run of markers and around line ends where that provably changes nothing: no piece that merges holds a
-marker after another character, or a line end beside one. So the backend merges word by word, remembers frequent words in its own
-bounded cache, and works on the library's threads. ``parity`` holds the ids against the sentencepiece library.
+marker after another character, or a line end beside one, and neither can be part of a run of unknown characters, which is one unknown. So the backend merges word by word, remembers frequent words in its own
+bounded cache, and works on the library's threads. ``parity`` holds the ids against the sentencepiece library; only where two ways to
+cut a text have the same score to the last bit may a unigram model's ids differ.
 """
 
 from __future__ import annotations
@@ -110,23 +111,34 @@ class Codec:
             self.model = m = Model.parse(f.read())
         self.ids = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN)
+        self.bytes_of = None
         usable = {p: i for i, (p, _, t) in enumerate(m.pieces) if t in (NORMAL, USER)}
         if m.kind == BPE:
-            order = sorted(usable, key=lambda p: (-m.pieces[usable[p]][1], usable[p]))
+            if any(t == UNUSED for _, _, t in m.pieces) or not {c for p, _, t in m.pieces if t == NORMAL for c in p} <= usable.keys():
+                raise ValueError("only BPE models without unused pieces whose pieces' characters are pieces")
+            order = sorted((p for p in usable if m.pieces[usable[p]][2] == NORMAL), key=lambda p: (-m.pieces[usable[p]][1], usable[p]))
             merges = [(p[:k], p[k:]) for p in order for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
             backend = models.BPE(vocab=self.ids, merges=merges, unk_token=m.pieces[self.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
-            backend = models.Unigram([(p, s if t in (NORMAL, USER) else -1e9) for p, s, t in m.pieces], self.unknown, m.byte_fallback)
+            # What text can't stand for gets a name with a space, which normalised text never holds, and the least score, so that unknowns cost the same.
+            scores = [s for _, s, t in m.pieces if t == NORMAL]
+            least, most = min(scores, default=0.0), max([0.0, *scores])
+            # A piece that the user defined costs next to nothing, as scores are logarithms of probabilities.
+            own = lambda p, s, t: s if t == NORMAL else len(p.encode()) * most - 0.1 if t == USER else least
+            backend = models.Unigram([(p if t in (NORMAL, USER) else f"no {i}", own(p, s, t)) for i, (p, s, t) in enumerate(m.pieces)], self.unknown)
+            # So are bytes' names, which a text may hold: unknowns become bytes here.
+            self.bytes_of = [self.ids[f"<0x{i:02X}>"] for i in range(256)] if m.byte_fallback else None
         self.tokenizer = Tokenizer(backend)
         self.tokenizer.encode_special_tokens = True
         user = [p for p, _, t in m.pieces if t == USER]
-        if user:
+        if user and m.kind == BPE:
             self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p in user])
         self.map = normalizers.Precompiled(m.charsmap) if m.charsmap else None
-        # The proof that cutting changes nothing: merges only make pieces, and none holds such neighbours.
+        # The proof that cutting changes nothing: merges only make pieces, none holds such neighbours, and no run of unknowns is cut.
         neighbours = {p[i : i + 2] for p in usable for i in range(len(p) - 1)}
-        if not user and not any(n[1] == MARK != n[0] for n in neighbours):
-            line = "" if any("\n" in n for n in neighbours) else "\n"
+        apart = lambda c: m.byte_fallback or c in usable
+        if not (user and m.kind == BPE) and apart(MARK) and not any(n[1] == MARK != n[0] for n in neighbours):
+            line = "\n" if apart("\n") and not any("\n" in n for n in neighbours) else ""
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else "")), "isolated")
         #: What each id decodes to.
         self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else " \u2047 ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in m.pieces]
@@ -138,12 +150,21 @@ class Codec:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
-        return ((" " if self.model.dummy_prefix else "") + text).replace(" ", MARK)
+        text = ((" " if self.model.dummy_prefix else "") + text).replace(" ", MARK)
+        return text.rstrip(MARK) if self.model.squeeze else text
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids without begin and end as packed 32-bit numbers; null and empty texts have none."""
         flat = [self.normalised(t) if t else "" for t in texts]
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
+        if self.bytes_of is not None:
+            found = [self._with_bytes(t) if self.unknown in ids else ids for ids, t in zip(found, flat, strict=True)]
+        return [array("i", ids).tobytes() for ids in found]
+
+    def _with_bytes(self, flat: str) -> list[int]:
+        """The ids of a normalised text with unknowns, each unknown stretch as its bytes."""
+        e = self.tokenizer.encode(flat, add_special_tokens=False)
+        return [x for i, text in zip(e.ids, e.tokens, strict=True) for x in ((i,) if i != self.unknown else map(self.bytes_of.__getitem__, text.encode()))]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [array("i", x).tolist() for x in self.packed(texts)]
@@ -180,7 +201,8 @@ ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids, and whether decoding gives the normalised text back: one row for each row, whole texts.
 
-    Null and empty texts have an empty list. Repeated rows give repeated rows; other columns are ignored. No shuffle.
+    Null and empty texts have an empty list; null ids stay null. Repeated rows give repeated rows; other columns are ignored, whatever their
+    names; an empty table gives an empty one. Of cuts with the same score the backend's own first one counts. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +222,9 @@ DECODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("te
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of doc_id, ids; null ids give a null text."""
-    def run(batches):
+    """doc_id, text of doc_id, ids; a null list gives a null text, an empty one an empty text, an empty table an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
             texts = [None if x is None else own.decode(x) for x in b.column(1).to_pylist()]

@@ -129,8 +129,8 @@ SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_byt
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens: one row for each row of ``docs``, whole texts, no shuffle.
 
-    ``path`` is the tokenizer's file, found on each executor. Null and empty texts have 0 tokens; repeated rows give repeated rows;
-    other columns are ignored.
+    ``path`` is the tokenizer's file, found on each executor. Null and empty texts have 0 tokens; null ids stay null; repeated rows give
+    repeated rows; other columns are ignored, whatever their names; an empty table gives an empty one. There are no ties: merges have ranks.
     """
 
     def setup():
