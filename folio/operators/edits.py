@@ -1,39 +1,45 @@
 """Ordered, all-or-nothing batches of edits on a relation of blocks, and their log of revisions.
 
-Blocks: doc_id, block_ix, kind, level, text. Ops: op_ix, op, doc_id, and the arguments that the op needs. A batch is applied op by
-op, each to what the one before left, in a number of plans that grows with the ops and not with the documents. An op that doesn't find exactly
-what it names refuses, and a document with a refusal keeps its input whole.
+Blocks: doc_id, block_ix, kind, level, text, and, where documents have more than lines, any of WIDE: properties, runs, tables, pictures and section
+marks. A batch is the same for all documents and is applied op by op, each to what the one before left. An op that doesn't find exactly what it
+names refuses, and a document with a refusal keeps its input whole.
+
+One shuffle gathers each document's blocks in order; ``folio.operators.batch`` runs the whole batch over them, document by document, in
+a stream of Arrow batches. So a plan doesn't grow with the ops, and memory follows the longest document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folio.functions import text as ft
+from folio.operators import batch
+from folio.operators.batch import Refused
+
+__all__ = ["KEYS", "WIDE", "Op", "Refused", "apply", "edited", "from_flags", "minimal", "read_ops", "recorded", "revisions", "split_runs"]
 
 KEYS = ["doc_id", "block_ix", "kind", "level", "text"]
-#: What each op needs.
-REQUIRED = {
-    "replace": ("find", "replace"),
-    "set_text": ("block", "text"),
-    "insert": ("text",),
-    "delete": ("block",),
-    "delete_section": ("heading",),
-    "move": ("block",),
-    "page_break_before": ("block",),
-    "format": ("block", "props"),
+#: What blocks may have besides.
+WIDE = {
+    "props": "map<string,string>",
+    "runs": "array<struct<text:string,props:map<string,string>,author:string,field:boolean>>",
+    "widths": "array<bigint>",
+    "rows": "array<array<struct<text:string,span:int,merge:string,props:map<string,string>>>>",
+    "image": "struct<name:string,width:bigint,height:bigint>",
+    "section": "boolean",
 }
-PLACED = ("insert", "move")
-#: Ops after which the lineage of a batch is cut.
-CUT = 10
-
-
-class Refused(ValueError):
-    """An op that can't be applied as it stands."""
+#: What a row of an edited relation is: a block, the refusal of a document, or a revision.
+BLOCK, REFUSAL, REVISION = "block", "refusal", "revision"
+#: Rows that are handed on at once.
+ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -44,136 +50,114 @@ class Op:
     args: dict = field(default_factory=dict)
 
     def checked(self) -> Op:
-        if self.op not in REQUIRED:
-            raise Refused(f"unknown op {self.op!r}")
-        missing = [k for k in REQUIRED[self.op] if k not in self.args]
-        if missing:
-            raise Refused(f"{self.op}: needs {', '.join(missing)}")
-        if self.op in PLACED and ("after" in self.args) == ("before" in self.args):
-            raise Refused(f"{self.op}: exactly one of after and before")
-        for k in ("block", "to", "after", "before", "heading"):
-            v = self.args.get(k)
-            if isinstance(v, (bool, float)) or v == "":
-                raise Refused(f"{self.op}: {k} must be a whole number or text")
+        batch.checked(self.op, self.args)
         return self
 
 
-def _size() -> Column:
-    return F.count("*").over(Window.partitionBy("doc_id"))
-
-
-def _is(selector: int | str) -> Column:
-    """Whether a block is what a selector names."""
-    if isinstance(selector, int):
-        return F.col("block_ix") == (F.lit(selector) if selector >= 0 else _size() + selector)
-    return F.contains("text", F.lit(selector))
-
-
-def _one(blocks: DataFrame, selector: int | str, name: str) -> DataFrame:
-    """``blocks`` with ``name``: the index of the one block that the selector names; null if it isn't one."""
-    hit = blocks.withColumn("_hit", _is(selector))
-    whole = Window.partitionBy("doc_id")
-    index = F.when(F.sum(F.col("_hit").cast("int")).over(whole) == 1, F.max(F.when(F.col("_hit"), F.col("block_ix"))).over(whole))
-    return hit.withColumn(name, index).drop("_hit")
-
-
-def renumbered(blocks: DataFrame, order: Column) -> DataFrame:
-    """Blocks numbered from 0 in the order of a key."""
-    return blocks.withColumn("_k", order).withColumn("block_ix", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_k")) - 1).cast("int")).drop("_k")
-
-
-def replace(blocks: DataFrame, find: str, new: str, count: int | None = 1) -> DataFrame:
-    """Literal text everywhere; refuses a document that doesn't hold it ``count`` times (None: any number)."""
-    own = ft.literal_count(F.col("text"), find)
-    found = F.sum(own).over(Window.partitionBy("doc_id"))
-    bad = F.lit(False) if count is None else found != count
-    return blocks.withColumn("_bad", bad).withColumn("text", F.replace("text", F.lit(find), F.lit(new)))
-
-
-def set_text(blocks: DataFrame, block: int | str, text: str) -> DataFrame:
-    at = _one(blocks, block, "_at")
-    return at.withColumn("_bad", F.col("_at").isNull()).withColumn("text", F.when(F.col("block_ix") == F.col("_at"), F.lit(text)).otherwise(F.col("text"))).drop("_at")
-
-
-def delete(blocks: DataFrame, block: int | str, to: int | str | None = None) -> DataFrame:
-    """An inclusive range; refuses a reversed one and the whole document."""
-    at = _one(blocks, block, "_a")
-    at = _one(at, to, "_z") if to is not None else at.withColumn("_z", F.col("_a"))
-    bad = F.col("_a").isNull() | F.col("_z").isNull() | (F.col("_a") > F.col("_z")) | (F.col("_z") - F.col("_a") + 1 >= _size())
-    gone = ~F.col("_bad") & F.col("block_ix").between(F.col("_a"), F.col("_z"))
-    return renumbered(at.withColumn("_bad", bad).where(~gone), F.col("block_ix").cast("double")).drop("_a", "_z")
-
-
-def delete_section(blocks: DataFrame, heading: int | str) -> DataFrame:
-    """A heading and what follows up to the next heading of its level or above."""
-    at = _one(blocks, heading, "_a")
-    whole = Window.partitionBy("doc_id")
-    own = F.max(F.when(F.col("block_ix") == F.col("_a"), F.col("level"))).over(whole)
-    at = at.withColumn("_l", own)
-    end = F.min(F.when((F.col("block_ix") > F.col("_a")) & (F.col("level") <= F.col("_l")), F.col("block_ix"))).over(whole)
-    at = at.withColumn("_z", F.coalesce(end, _size()))
-    bad = F.col("_a").isNull() | F.col("_l").isNull() | (F.col("_z") - F.col("_a") >= _size())
-    gone = ~F.col("_bad") & (F.col("block_ix") >= F.col("_a")) & (F.col("block_ix") < F.col("_z"))
-    return renumbered(at.withColumn("_bad", bad).where(~gone), F.col("block_ix").cast("double")).drop("_a", "_z", "_l")
-
-
-def insert(blocks: DataFrame, texts: list[str], after: int | str | None = None, before: int | str | None = None) -> DataFrame:
-    """New paragraphs in the order given, after or before a block, of its kind."""
-    at = _one(blocks, after if after is not None else before, "_at").withColumn("_bad", F.col("_at").isNull())
-    shift = 1.0 if after is not None else 0.0
-    new = at.where(F.col("block_ix") == F.col("_at")).select("doc_id", "block_ix", "kind", F.lit(None).cast("int").alias("level"), "_bad", F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("_i", "text"))
-    placed = new.select(*KEYS, "_bad", (F.col("block_ix") + shift - 1.0 + (F.col("_i") + 1.0) / (len(texts) + 1.0)).alias("_o"))
-    old = at.select(*KEYS, "_bad", F.col("block_ix").cast("double").alias("_o"))
-    return renumbered(old.unionByName(placed), F.col("_o")).drop("_o")
-
-
-def move(blocks: DataFrame, block: int | str, to: int | str | None = None, after: int | str | None = None, before: int | str | None = None) -> DataFrame:
-    """A range to another place, which mustn't lie inside it."""
-    at = _one(blocks, block, "_a")
-    at = _one(at, to, "_z") if to is not None else at.withColumn("_z", F.col("_a"))
-    at = _one(at, after if after is not None else before, "_t")
-    bad = F.col("_a").isNull() | F.col("_z").isNull() | F.col("_t").isNull() | (F.col("_a") > F.col("_z")) | F.col("_t").between(F.col("_a"), F.col("_z"))
-    at = at.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-    inside = F.col("block_ix").between(F.col("_a"), F.col("_z"))
-    edge = F.col("_t") + F.lit(0.25 if after is not None else -0.75)
-    order = F.when(~F.col("_bad") & inside, edge + 0.5 * (F.col("block_ix") - F.col("_a") + 1) / (F.col("_z") - F.col("_a") + 2)).otherwise(F.col("block_ix").cast("double"))
-    return renumbered(at, order).drop("_a", "_z", "_t")
-
-
-def _flagged(blocks: DataFrame, block: int | str, kind: str) -> DataFrame:
-    at = _one(blocks, block, "_at")
-    return at.withColumn("_bad", F.col("_at").isNull()).withColumn("kind", F.when(F.col("block_ix") == F.col("_at"), F.lit(kind)).otherwise(F.col("kind"))).drop("_at")
-
-
-APPLY: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
-    "replace": lambda b, a: replace(b, a["find"], a["replace"], a.get("count", 1)),
-    "set_text": lambda b, a: set_text(b, a["block"], a["text"]),
-    "insert": lambda b, a: insert(b, a["text"] if isinstance(a["text"], list) else [a["text"]], a.get("after"), a.get("before")),
-    "delete": lambda b, a: delete(b, a["block"], a.get("to")),
-    "delete_section": lambda b, a: delete_section(b, a["heading"]),
-    "move": lambda b, a: move(b, a["block"], a.get("to"), a.get("after"), a.get("before")),
-    "page_break_before": lambda b, a: _flagged(b, a["block"], "break"),
-    "format": lambda b, a: _flagged(b, a["block"], a["props"].get("kind", "paragraph")),
-}
-
-
-def apply(blocks: DataFrame, ops: list[Op], cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(blocks after the batch, doc_id and the first op that refused). A document with a refusal comes out as it went in.
-
-    ``cut`` cuts the lineage every CUT ops, such as by a checkpoint in a shared folder.
+def read_ops(text: str) -> list[Op]:
+    """Ops of a JSON list of objects, which may begin with a byte order mark; an object without ``op`` replaces."""
+    try:
+        found = json.loads(text.removeprefix("\ufeff"))
+    except ValueError as e:
+        raise Refused(f"ops: {e}") from e
+    if not isinstance(found, list) or not all(isinstance(o, dict) for o in found):
+        raise Refused("ops must be a list of objects")
+    return [Op(o.get("op", "replace"), {k: v for k, v in o.items() if k != "op"}).checked() for o in found]
+
+
+def from_flags(replace=(), set_text=(), insert_after=(), delete=(), delete_section=(), page_break_before=(), del_row=(), cell=(), add_row=(), like=None) -> list[Op]:
+    """Ops of the flags of a command line, in the order of the parameters. Rows are deleted from the last up, so that their numbers mean the
+    table as it was; a cell's text may spell line ends as a backslash and n; a new row's values stand between pipes."""
+    ops = [Op("replace", {"find": a, "replace": b}) for a, b in replace]
+    ops += [Op("set_text", {"block": b, "text": t}) for b, t in set_text]
+    ops += [Op("insert", {"after": b, "text": t} | ({"like": like} if like else {})) for b, t in insert_after]
+    ops += [Op("delete", {"block": b}) for b in delete]
+    ops += [Op("delete_section", {"heading": h}) for h in delete_section]
+    ops += [Op("page_break_before", {"block": b}) for b in page_break_before]
+    ops += [Op("del_row", {"table": t, "row": int(r)}) for t, r in sorted(del_row, key=lambda x: -int(x[1]))]
+    ops += [Op("cell", {"table": t, "row": int(r), "col": int(c), "text": x.replace("\\n", "\n")}) for t, r, c, x in cell]
+    ops += [Op("add_row", {"table": t, "after": int(r), "values": v.split("|")}) for t, r, v in add_row]
+    return [op.checked() for op in ops]
+
+
+def _read(row: dict) -> batch.Block:
+    runs, rows = row.get("runs"), row.get("rows")
+    return batch.Block(
+        row["kind"], row["level"], row["text"] or "", dict(row.get("props") or ()),
+        None if runs is None else [batch.Run(r["text"] or "", dict(r["props"] or ()), r["author"], bool(r["field"])) for r in runs],
+        None if rows is None else list(row.get("widths") or [1] * sum(c["span"] or 1 for c in rows[0])),
+        None if rows is None else [[batch.Cell(c["text"] or "", c["span"] or 1, c["merge"], dict(c["props"] or ())) for c in r] for r in rows],
+        row.get("image"), bool(row.get("section")),
+    )
+
+
+def _written(b: batch.Block, wide: bool) -> dict:
+    if not wide:
+        # Without a column for properties a page break shows as the block's kind.
+        return {"kind": "break" if "page_break_before" in b.props else b.kind, "level": b.level, "text": b.text}
+    runs = None if b.runs is None else [{"text": r.text, "props": list(r.props.items()), "author": r.author, "field": r.field} for r in b.runs]
+    rows = None if b.rows is None else [[{"text": c.text, "span": c.span, "merge": c.merge, "props": list(c.props.items())} for c in r] for r in b.rows]
+    return {"kind": b.kind, "level": b.level, "text": b.text, "props": list(b.props.items()), "runs": runs, "widths": b.widths, "rows": rows, "image": b.image, "section": b.section}
+
+
+def edited(blocks: DataFrame, ops: list[Op], author: str | None = None, styles: dict[str, str] | None = None, media: dict[str, tuple] | None = None) -> DataFrame:
+    """One relation of all that a batch gives: blocks after it, documents' refusals (op_ix, message), and with ``author`` revisions (op_ix, change,
+    removed, added); ``what`` tells them apart.
+
+    ``styles``: names by id; ``media``: (pixels wide, pixels high, dots an inch) by file. Blocks without a document id are one document. A batch
+    without ops gives its input, an empty relation an empty one. Malformed ops refuse before anything runs.
     """
-    checked = [op.checked() for op in ops]
-    now = blocks.select(*KEYS).withColumn("_refused", F.lit(None).cast("int"))
-    for k, op in enumerate(checked):
-        refused = now.select("doc_id", "block_ix", F.col("_refused").alias("_r"))
-        out = APPLY[op.op](now.drop("_refused"), op.args)
-        known = refused.groupBy("doc_id").agg(F.min("_r").alias("_r"))
-        now = out.join(known, "doc_id").withColumn("_refused", F.coalesce("_r", F.when(F.col("_bad"), F.lit(k)))).select(*KEYS, "_refused")
-        if cut and (k + 1) % CUT == 0:
-            now = cut(now)
-    errors = now.groupBy("doc_id").agg(F.min("_refused").alias("op_ix")).where("op_ix is not null")
-    kept = blocks.select(*KEYS).join(errors, "doc_id", "left_semi")
-    return now.join(errors, "doc_id", "left_anti").select(*KEYS).unionByName(kept), errors
+    program = [(op.checked().op, op.args) for op in ops]
+    columns = [*KEYS, *(c for c in WIDE if c in blocks.columns)]
+    wide = len(columns) > len(KEYS)
+    own = blocks.select(*KEYS, *[F.col(c).cast(WIDE[c]).alias(c) for c in columns[len(KEYS) :]])
+    fields = [T.StructField("what", T.StringType()), T.StructField("op_ix", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("message", "change", "removed", "added")]]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in own.schema.fields), *fields])
+
+    def one(doc: object, rows: list[dict]) -> Iterator[dict]:
+        state = batch.Document([_read(r) for r in rows], author, styles, media)
+        try:
+            state.run(program)
+        except Refused as e:
+            yield from ({**r, "what": BLOCK} for r in rows)
+            yield {"doc_id": doc, "what": REFUSAL, "op_ix": state.now, "message": str(e)}
+            return
+        for i, b in enumerate(state.blocks):
+            row = _written(b, wide)
+            yield {"doc_id": doc, "block_ix": i, "what": BLOCK, **{k: v for k, v in row.items() if k in columns}}
+        yield from ({"doc_id": doc, "block_ix": i, "what": REVISION, "op_ix": k, "change": c, "removed": r, "added": a} for i, (k, c, r, a) in enumerate(state.revisions))
+
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def documents() -> Iterator[tuple[object, list[dict]]]:
+            held: list[dict] = []
+            for b in batches:
+                for row in b.to_pylist():
+                    if held and held[0]["doc_id"] != row["doc_id"]:
+                        yield held[0]["doc_id"], held
+                        held = []
+                    held.append(row)
+            if held:
+                yield held[0]["doc_id"], held
+
+        ready: list[dict] = []
+        for doc, rows in documents():
+            ready += one(doc, rows)
+            if len(ready) >= ROWS:
+                yield pa.RecordBatch.from_pylist(ready, out)
+                ready = []
+        if ready:
+            yield pa.RecordBatch.from_pylist(ready, out)
+
+    return own.repartition("doc_id").sortWithinPartitions("doc_id", "block_ix").mapInArrow(run, schema)
+
+
+def apply(blocks: DataFrame, ops: list[Op], **context: object) -> tuple[DataFrame, DataFrame]:
+    """(blocks after the batch, doc_id and the first op that refused). A document with a refusal comes out as it went in."""
+    done = edited(blocks, ops, **context)
+    columns = [c for c in (*KEYS, *WIDE) if c in done.columns]
+    return done.where(F.col("what") == BLOCK).select(*columns), done.where(F.col("what") == REFUSAL).select("doc_id", "op_ix")
 
 
 def minimal(old: Column, new: Column) -> Column:
@@ -184,8 +168,16 @@ def minimal(old: Column, new: Column) -> Column:
     return F.struct(prefix.alias("prefix"), suffix.alias("suffix"), middle(old).alias("removed"), middle(new).alias("added"))
 
 
+def recorded(blocks: DataFrame, ops: list[Op], author: str, stamp: str, **context: object) -> DataFrame:
+    """doc_id, rev_ix, op_ix, change (insert, delete, replace or format), removed, added, author, ts: what a batch did, op by op. An insert is
+    one revision, however many blocks come after it."""
+    done = edited(blocks, ops, author=author, **context).where(F.col("what") == REVISION)
+    return done.select("doc_id", F.col("block_ix").alias("rev_ix"), "op_ix", "change", "removed", "added", F.lit(author).alias("author"), F.to_timestamp(F.lit(stamp)).alias("ts"))
+
+
 def revisions(before: DataFrame, after: DataFrame, author: str, stamp: str) -> DataFrame:
-    """doc_id, block_ix, kind (insert, delete or replace), removed, added, author, ts: what differs block by block."""
+    """doc_id, block_ix, kind (insert, delete or replace), removed, added, author, ts: what differs block by block, for edits that keep blocks
+    in their places; ``recorded`` follows those that don't."""
     b = before.select("doc_id", "block_ix", F.col("text").alias("old"))
     a = after.select("doc_id", "block_ix", F.col("text").alias("new"))
     joined = b.join(a, ["doc_id", "block_ix"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
