@@ -50,8 +50,8 @@ def intersects(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 
 def valid_rectangle(x0: Column, y0: Column, x1: Column, y1: Column, width: float, height: float) -> Column:
     """Finite, not empty, inside the page."""
-    finite = ~(F.isnan(x0) | F.isnan(y0) | F.isnan(x1) | F.isnan(y1))
-    return F.coalesce(finite & (x0 < x1) & (y0 < y1) & (x0 >= 0) & (y0 >= 0) & (x1 <= width) & (y1 <= height), F.lit(False))
+    # NaN compares as the largest value and infinities as what they are, so the bounds leave finite numbers only.
+    return F.coalesce((x0 < x1) & (y0 < y1) & (x0 >= 0) & (y0 >= 0) & (x1 <= width) & (y1 <= height), F.lit(False))
 
 
 def same_line(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 #: A number as table cells write it, with sign, groups, decimal comma or point and a unit or percent sign.
 NUMBER = r"^[\s+\-−–]?[\d\s\u00a0.,]+\s*(%|‰|₽|\$|€|п\.п\.|млн|млрд|тыс\.?)?$"
 #: What templates leave behind when they are not filled in, and broken references.
-PLACEHOLDERS = (
-    r"\{\{", r"\}\}", r"\{%", "TODO", "TBD", "XXX", "Lorem ipsum",
-    "Error! Reference", "Ошибка! Источник", "Ошибка! Закладка", "Error! Bookmark", r"\?\?\?",
-)
-PLACEHOLDER = "(?iu)" + "|".join(PLACEHOLDERS)
+PLACEHOLDERS = r"\{\{|\}\}|\{%|TODO|TBD|XXX|Lorem ipsum|Error! Reference|Ошибка! Источник|Ошибка! Закладка|Error! Bookmark|\?\?\?"
+PLACEHOLDER = "(?iu)" + PLACEHOLDERS
 #: Short words that don't end a line, and units that stay with their number.
-SHORT_WORDS = ("в", "во", "и", "с", "со", "к", "ко", "о", "об", "у", "а", "я", "на", "не", "но", "по", "за", "из", "до", "от", "для", "без", "или")
-UNITS = ("%", "‰", "₽", r"\$", "€", "млн", "млрд", "тыс", "руб", "кг", "км", "мм", "см", r"п\.п\.", r"г\.")
+SHORT_WORDS = "в|во|и|с|со|к|ко|о|об|у|а|я|на|не|но|по|за|из|до|от|для|без|или"
+UNITS = r"%|‰|₽|\$|€|млн|млрд|тыс|руб|кг|км|мм|см|п\.п\.|г\."
 #: Characters that stand where a glyph is missing.
 MISSING_GLYPHS = "�□"
 #: A line of a table of contents: dots leading to a page number at its end.
@@ -87,8 +84,16 @@ def has_placeholder(text: Column) -> Column:
 
 
 def placeholder_contexts(text: Column, around: int = 30) -> Column:
-    """Each hit with so many characters on either side."""
-    return F.regexp_extract_all(text, F.lit(f"(?ius).{{0,{around}}}(?:{PLACEHOLDER[5:]}).{{0,{around}}}"), F.lit(0))
+    """Every hit with so many characters on either side, also where hits stand close together: places first, contexts after."""
+    hits = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
+    pieces = F.zip_with(F.transform(F.split(text, PLACEHOLDER, -1), F.length), F.transform(hits, F.length), lambda gap, hit: F.struct(gap.alias("gap"), F.coalesce(hit, F.lit(0)).alias("hit")))
+    places = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(hits)),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int>>").alias("out")),
+        lambda acc, p: F.struct((acc["at"] + p["gap"] + p["hit"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("a"), (acc["at"] + p["gap"] + p["hit"]).alias("z")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.transform(places, lambda p: F.substring(text, F.greatest(p["a"] - around, F.lit(0)) + 1, p["z"] + around - F.greatest(p["a"] - around, F.lit(0))))
 
 
 def has_missing_glyph(text: Column) -> Column:
@@ -131,8 +136,8 @@ def trimmed_decimal(value: Column, places: int = 5) -> Column:
 
 def glued(text: Column) -> Column:
     """No-break spaces after short words and before a long dash, narrow ones between a number and its unit."""
-    text = F.regexp_replace(text, rf"(?iu)(?<=^|\s)({'|'.join(SHORT_WORDS)})\s", "$1\u00a0")
-    text = F.regexp_replace(text, rf"(?<=\d) (?={'|'.join(UNITS)})", "\u202f")
+    text = F.regexp_replace(text, rf"(?iu)(?<=^|\s)({SHORT_WORDS})\s", "$1\u00a0")
+    text = F.regexp_replace(text, rf"(?<=\d) (?={UNITS})", "\u202f")
     return F.replace(text, F.lit(" — "), F.lit("\u00a0— "))
 
 

@@ -62,26 +62,29 @@ def modal_sizes(spans: DataFrame) -> DataFrame:
     return counts.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "mode"))).where("k = 1").select("doc_id", "mode")
 
 
-def _last_page() -> Column:
-    return F.max("page").over(Window.partitionBy("doc_id"))
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``last``: the document's last page, whether anything stands on it or not."""
+    return pages.withColumn("last", F.max("page").over(Window.partitionBy("doc_id")))
 
 
 def stranded_headings(spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """A page's last line, low on it and larger than the text, on any page but the last."""
-    last = spans.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("y1"), "x0", "text"))).where("k = 1")
-    sized = last.withColumn("last", _last_page()).join(modal_sizes(spans), "doc_id").join(pages, ["doc_id", "page"])
-    bad = (F.col("page") < F.col("last")) & (F.col("size") > HEADING_SIZE * F.col("mode")) & (F.col("y0") > HEADING_FROM * F.col("height"))
+    """A page's last line, ending low on it and larger than the text, on any page but the document's last."""
+    real = spans.where(F.trim("text") != "")
+    last = real.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("y1"), "x0", "text"))).where("k = 1")
+    sized = last.join(modal_sizes(spans), "doc_id").join(_numbered(pages), ["doc_id", "page"])
+    bad = (F.col("page") < F.col("last")) & (F.col("size") > HEADING_SIZE * F.col("mode")) & (F.col("y1") > HEADING_FROM * F.col("height"))
     return findings(sized.where(bad), "W", "stranded", F.col("text"))
 
 
 def holes(spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """Middle pages whose content, the footer aside, ends early; and last pages with next to nothing."""
-    body = spans.join(pages, ["doc_id", "page"]).where(F.col("y0") < FOOTER_FROM * F.col("height"))
-    ends = body.groupBy("doc_id", "page", "height").agg(F.max("y1").alias("end")).withColumn("last", _last_page())
-    middle = ends.where((F.col("page") > 1) & (F.col("page") < F.col("last")) & (F.col("end") < HOLE_UNDER * F.col("height")))
+    """Middle pages whose content, what ends in the footer aside, ends early; and a document's last page if it holds next to nothing."""
+    joined = spans.join(_numbered(pages), ["doc_id", "page"])
+    above = F.max(F.when(F.col("y1") < FOOTER_FROM * F.col("height"), F.col("y1")))
+    ends = joined.groupBy("doc_id", "page", "height", "last").agg(F.max("y1").alias("end"), above.alias("body"))
+    middle = ends.where((F.col("page") > 1) & (F.col("page") < F.col("last")) & (F.col("body") < HOLE_UNDER * F.col("height")))
     final = ends.where((F.col("page") == F.col("last")) & (F.col("last") > 1) & (F.col("end") < LAST_UNDER * F.col("height")))
-    percent = F.concat(F.round(100 * F.col("end") / F.col("height"), 0).cast("int").cast("string"), F.lit(" %"))
-    return findings(middle, "W", "hole", percent).unionAll(findings(final, "W", "last_page", percent))
+    percent = lambda c: F.concat(F.round(100 * F.col(c) / F.col("height"), 0).cast("int").cast("string"), F.lit(" %"))
+    return findings(middle, "W", "hole", percent("body")).unionAll(findings(final, "W", "last_page", percent("end")))
 
 
 def right_edge(spans: DataFrame, pages: DataFrame) -> DataFrame:

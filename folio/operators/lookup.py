@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +27,12 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
 def section_ends(headings: DataFrame, key: str, index: str, level: str, sizes: DataFrame) -> DataFrame:
     """key, index, level, end: where each heading's section ends: the next heading of its level or above, else the document's size.
 
-    ``headings`` has few levels, so the next heading of each level is carried along one window and the least taken: no
+    Outline levels go from 0 to 8, deeper ones count as 8; so the next heading of each level is carried along one window and the least taken: no
     heading is compared with all others.
     """
     window = Window.partitionBy(key).orderBy(index).rowsBetween(1, Window.unboundedFollowing)
-    ends = [F.when(F.col(level) >= k, F.min(F.when(F.col(level) == k, F.col(index))).over(window)) for k in range(9)]
+    own = F.least(F.col(level), F.lit(8))
+    ends = [F.when(own >= k, F.min(F.when(own == k, F.col(index))).over(window)) for k in range(9)]
     found = headings.withColumn("_end", F.least(*ends))
     return found.join(sizes, key).select(key, index, level, F.coalesce("_end", "size").alias("end"))
 
@@ -53,12 +52,22 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], l0: str, l1: s
 def inherited(nodes: DataFrame, key: str, parent: str, value: str, most: int = 10) -> DataFrame:
     """key, value: each node's own value, else the nearest ancestor's, ``most`` steps up at most; cycles end with the steps.
 
-    Pointers double, so this takes a few joins and not one for each step.
+    Stretches of the chain double, so this takes a few joins and not one for each step.
     """
-    now = nodes.select(F.col(key), F.col(parent).alias("_p"), F.col(value).alias("_v"))
-    for _ in range(max(1, math.ceil(math.log2(most + 1)))):
-        up = now.select(F.col(key).alias("_p"), F.col("_p").alias("_pp"), F.col("_v").alias("_pv"))
-        now = now.join(up, "_p", "left").select(key, F.when(F.col("_v").isNull(), F.col("_pp")).otherwise(F.col("_p")).alias("_p"), F.coalesce("_v", "_pv").alias("_v"))
+    def after(a: DataFrame, b: DataFrame) -> DataFrame:
+        """A stretch of the chain and the one that follows it as one: the nearest value in either, and the node behind both."""
+        up = b.select(F.col(key).alias("_p"), F.col("_p").alias("_pp"), F.col("_v").alias("_pv"))
+        return a.join(up, "_p", "left").select(key, F.col("_pp").alias("_p"), F.coalesce("_v", "_pv").alias("_v"))
+
+    # A node and ``most`` steps are most + 1 nodes; stretches of 1, 2, 4, ... of them make up that many exactly.
+    stretch = nodes.select(F.col(key), F.col(parent).alias("_p"), F.col(value).alias("_v"))
+    now, left = None, most + 1
+    while left:
+        if left & 1:
+            now = stretch if now is None else after(now, stretch)
+        left >>= 1
+        if left:
+            stretch = after(stretch, stretch)
     return now.select(key, F.col("_v").alias(value))
 
 

@@ -185,14 +185,16 @@ def reason_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with recursive s(id, name, parent, outline) as (values ('a', 'Title', 'b', null), ('b', 'Base', 'c', null), ('c', 'heading 2', 'd', 1), ('d', 'Root', null, 7), ('x', 'Loop', 'y', null), ('y', 'Loop2', 'x', null), ('n', 'Normal', null, null)),
-w(id, up, steps, value) as (select id, parent, 0, cast(outline as integer) from s union all select w.id, s.parent, w.steps + 1, cast(s.outline as integer) from w join s on s.id = w.up where w.value is null and w.steps < 10)
+    """with recursive s as (select c_custkey as id, case when c_custkey % 50 = 7 then c_custkey + 3 else c_custkey - 1 end as parent, case when c_custkey % 17 = 0 then cast(c_nationkey % 9 as integer) end as outline from customer),
+w(id, up, steps, value) as (select id, parent, 0, outline from s union all select w.id, s.parent, w.steps + 1, s.outline from w join s on s.id = w.up where w.value is null and w.steps < 10)
 select id as style_id, max(value) as outline from w group by id"""
 )
 def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outline levels inherited over parents; a loop ends without a level."""
-    rows = [("a", "b", None), ("b", "c", None), ("c", "d", 1), ("d", None, 7), ("x", "y", None), ("y", "x", None), ("n", None, None)]
-    return lookup.inherited(spark.createDataFrame(rows, "style_id string, parent string, outline int"), "style_id", "parent", "outline")
+    """Outline levels inherited over parents, ten steps up at most; a chain that loops ends without a level."""
+    c = table(spark, sf_dir, "customer")
+    parent = F.when(F.col("c_custkey") % 50 == 7, F.col("c_custkey") + 3).otherwise(F.col("c_custkey") - 1)
+    styles = c.select(F.col("c_custkey").alias("style_id"), parent.alias("parent"), F.when(F.col("c_custkey") % 17 == 0, (F.col("c_nationkey") % 9).cast("int")).alias("outline"))
+    return lookup.inherited(styles, "style_id", "parent", "outline")
 
 
 @query(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as ft
 from folio.operators import gate
 from folio.plans.registry import query, table
 
 SPANS = """select l_orderkey // 8 as doc_id, l_orderkey % 8 + 1 as page, l_linenumber as n, 'line ' || l_partkey as text, 8 + l_discount * 100 as size,
 l_tax * 4000 as x0, l_quantity * 16 as y0, l_tax * 4000 + 80 + l_discount * 2500 as x1, l_quantity * 16 + 12 as y1, l_partkey, l_suppkey, l_extendedprice from lineitem"""
-PAGES = "select distinct l_orderkey // 8 as doc_id, l_orderkey % 8 + 1 as page, cast(595 as double) as width, cast(842 as double) as height from lineitem"
+PAGES = "select distinct l_orderkey // 8 as doc_id, l_orderkey % 8 + 1 as page, cast(595 as double) as width, cast(842 as double) as height from lineitem union all select distinct l_orderkey // 8, 9, 595.0, 842.0 from lineitem where l_orderkey // 8 % 3 = 0"
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +23,16 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("doc_id"), (F.col("l_orderkey") % 8 + 1).alias("page")).distinct().select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+    """Pages with lines on them, and for every third document an empty last one."""
+    filled = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("doc_id"), (F.col("l_orderkey") % 8 + 1).alias("page"))
+    more = filled.where("doc_id % 3 = 0").select("doc_id", F.lit(9).cast("bigint").alias("page"))
+    return filled.unionAll(more).distinct().select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
 
 
 #: Texts that trigger the rules which no table's texts do, and some that must not.
-INJECTED = [(-1, "Total: {{ sum }}"), (-2, "todo: check"), (-3, "Lorem ipsum dolor"), (-4, "Error! Reference source not found"), (-5, "a clean line"), (-6, "a � glyph"), (-7, "a □ box")]
+INJECTED = [(-1, "Total: {{ sum }}"), (-8, "Dear {{ name }}, TODO TBD"), (-9, "no text until here, which is far from both ends ??? as is this, more than thirty characters"), (-2, "todo: check"), (-3, "Lorem ipsum dolor"), (-4, "Error! Reference source not found"), (-5, "a clean line"), (-6, "a � glyph"), (-7, "a □ box")]
 VALUES = ", ".join(f"({k}, '{t}')" for k, t in INJECTED)
-PLACEHOLDER = r"\{\{|\}\}|\{%|TODO|TBD|XXX|Lorem ipsum|Error! Reference|Ошибка! Источник|Ошибка! Закладка|Error! Bookmark|\?\?\?"
+PLACEHOLDER = ft.PLACEHOLDERS
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(injected).withColumn("page", F.lit(1).cast("bigint"))
 
 
-@query(f"with t(doc_id, text) as (select doc_id, text from documents union all select * from (values {VALUES}) v(a, b)) select doc_id, unnest(regexp_extract_all(text, '(?is).{{0,30}}(?:{PLACEHOLDER}).{{0,30}}')) as message from t where regexp_matches(text, '(?is){PLACEHOLDER}')")
+@query(
+    f"""with t(doc_id, text) as (select doc_id, text from documents union all select * from (values {VALUES}) v(a, b)),
+h as (select doc_id, text, regexp_extract_all(text, '(?i){PLACEHOLDER}') as hits, string_split_regex(text, '(?i){PLACEHOLDER}') as gaps from t where regexp_matches(text, '(?i){PLACEHOLDER}')),
+p as (select doc_id, text, length(hits[i]) as n, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) as bigint) as a from h, unnest(range(1, len(hits) + 1)) u(i))
+select doc_id, substr(text, greatest(a - 30, 0) + 1, a + n + 30 - greatest(a - 30, 0)) as message from p"""
+)
 def placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.placeholders(_texts(spark, sf_dir)).select("doc_id", "message")
 
@@ -48,16 +57,16 @@ def missing_glyph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with s as ({SPANS}), p as ({PAGES}), c as (select doc_id, round_even(size, 1) as size, count(*) as n from s group by 1, 2), m as (select doc_id, size as mode from (select *, row_number() over (partition by doc_id order by n desc, size) as k from c) x where k = 1),
-l as (select *, row_number() over (partition by doc_id, page order by y1 desc, x0, text) as k from s), f as (select *, max(page) over (partition by doc_id) as last from l where k = 1)
-select f.doc_id, f.page, f.text as message from f join m using (doc_id) where f.page < f.last and f.size > 1.15 * m.mode and f.y0 > 0.60 * 842"""
+l as (select *, row_number() over (partition by doc_id, page order by y1 desc, x0, text) as k from s), f as (select * from l where k = 1), z as (select doc_id, max(page) as last from p group by doc_id)
+select f.doc_id, f.page, f.text as message from f join m using (doc_id) join z using (doc_id) where f.page < z.last and f.size > 1.15 * m.mode and f.y1 > 0.60 * 842"""
 )
 def stranded_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.stranded_headings(_spans(spark, sf_dir), _pages(spark, sf_dir)).select("doc_id", "page", "message")
 
 
 @query(
-    f"""with s as ({SPANS}), e as (select doc_id, page, max(y1) as e from s where y0 < 0.90 * 842 group by 1, 2), l as (select *, max(page) over (partition by doc_id) as last from e)
-select doc_id, page, 'hole' as code from l where page > 1 and page < last and e < 0.55 * 842 union all select doc_id, page, 'last_page' from l where page = last and last > 1 and e < 0.15 * 842"""
+    f"""with s as ({SPANS}), p as ({PAGES}), z as (select doc_id, max(page) as last from p group by doc_id), e as (select doc_id, page, max(y1) as e, max(y1) filter (where y1 < 0.90 * 842) as b from s group by 1, 2)
+select doc_id, page, 'hole' as code from e join z using (doc_id) where page > 1 and page < last and b < 0.55 * 842 union all select doc_id, page, 'last_page' from e join z using (doc_id) where page = last and last > 1 and e < 0.15 * 842"""
 )
 def page_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.holes(_spans(spark, sf_dir), _pages(spark, sf_dir)).select("doc_id", "page", "code")
@@ -141,7 +150,7 @@ def page_count_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with x as (select vec_id, list_transform(embedding, lambda v: cast(floor((v + 1) * 127) as integer)) as p, label from embeddings),
-y as (select vec_id, p, lead(p) over (order by vec_id) as q from x), z as (select vec_id, list_sum(list_transform(range(1, len(p) + 1), lambda i: case when abs(p[i] - q[i]) > 40 then 1 else 0 end)) / cast(len(p) as double) as share from y where q is not null)
+y as (select x.vec_id, x.p, n.p as q from x join x n on n.vec_id = x.vec_id + 1), z as (select vec_id, list_sum(list_transform(range(1, len(p) + 1), lambda i: case when abs(p[i] - q[i]) > 40 then 1 else 0 end)) / cast(len(p) as double) as share from y)
 select vec_id, share, share > 0.0005 as changed from z"""
 )
 def raster_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
