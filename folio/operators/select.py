@@ -3,29 +3,54 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import text as ft
 
-
-#: Selectors of a batch that every block is held against at once.
-MOST_TERMS = 20_000
+#: Selectors of a batch that every block is held against at once, and characters of them.
+MOST_TERMS, MOST_CHARS = 20_000, 16_000_000
 
 
 def containing(blocks: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """Each (term, block) with the term somewhere in the block's text.
 
-    ``terms`` is a stated batch of selectors that all blocks are held against. Up to MOST_TERMS they are broadcast; a larger batch
-    is dealt into slices of about that many, each of which passes over the blocks.
+    ``terms`` is a stated batch of selectors that all blocks are held against: an automaton of all their strings reads each text once, whatever
+    the number of terms. Up to MOST_TERMS strings of MOST_CHARS characters make one automaton; a larger batch is dealt into slices of about that
+    size, each of which passes over the blocks. Null and empty terms and texts match nothing; terms that repeat each match.
     """
-    hit = F.contains(F.col(text), F.col(term)) & (F.length(term) > 0)
-    slices = -(-terms.count() // MOST_TERMS)
-    if slices <= 1:
-        return blocks.join(F.broadcast(terms), hit)
-    dealt = [terms.where(F.pmod(F.xxhash64(term), F.lit(slices)) == k) for k in range(slices)]
-    return functools.reduce(DataFrame.unionAll, [blocks.join(F.broadcast(t), hit) for t in dealt])
+    real = terms.where(F.length(term) > 0)
+    size = real.select(F.countDistinct(term).alias("n"), F.coalesce(F.sum(F.length(term)), F.lit(0)).alias("c")).first()
+    slices = max(1, -(-size["n"] // MOST_TERMS), -(-size["c"] // MOST_CHARS))
+    dealt = [real.where(F.pmod(F.xxhash64(term), F.lit(slices)) == k) for k in range(slices)]
+    return functools.reduce(DataFrame.unionAll, [_found(blocks, t, text, term) for t in dealt])
+
+
+def _found(blocks: DataFrame, terms: DataFrame, text: str, term: str) -> DataFrame:
+    """The hits of one slice of terms, whose size is bounded, so its strings and rows may go to all executors."""
+    strings = [r[0] for r in terms.select(term).distinct().collect()]
+    at = blocks.columns.index(text)
+    shared = blocks.sparkSession.sparkContext.broadcast(strings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for s in shared.value:
+            automaton.add_word(s, s)
+        automaton.make_automaton()
+        for b in batches:
+            found = [(i, s) for i, t in enumerate(b.column(at).to_pylist()) if t for s in sorted({s for _, s in automaton.iter(t)})] if shared.value else []
+            if found:
+                rows = b.take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([s for _, s in found], pa.string())], names=[*b.schema.names, "_hit"])
+
+    hits = blocks.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in blocks.schema.fields), T.StructField("_hit", T.StringType())]))
+    return hits.join(F.broadcast(terms), F.col("_hit") == F.col(term)).drop("_hit")
 
 
 def expected(matches: DataFrame, selectors: DataFrame, key: str, want: Column | None = None) -> DataFrame:

@@ -53,9 +53,13 @@ def find_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("at").alias("last_offset"), F.sum("at").alias("offset_sum"))
 
 
-HTML = r"""with bare as (select page_id, regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gis') as h from pages),
-parts as (select page_id, regexp_extract_all(h, '<[a-zA-Z][a-zA-Z0-9]*\b[^>]*>[^<]*') as a from bare),
-blocks as (select page_id, cast(g - 1 as integer) as block_ix, lower(regexp_extract(a[g], '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag, trim(regexp_replace(a[g], '^<[^>]*>', '')) as text from parts, unnest(range(1, len(a) + 1)) u(g))"""
+HTML_PARTS = r"""with bare as (select page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gis'), '<([^a-zA-Z/!?])', '&lt;\1', 'g') as h from pages),
+parts as (select page_id, list_filter(regexp_extract_all(h, '(?s)^[^<]+|<[/!?]?[a-zA-Z][^>]*>[^<]*'), lambda x: regexp_matches(x, '^<[a-zA-Z]') or trim(regexp_replace(x, '(?s)^<[^>]*>', '')) <> '') as a from bare),
+"""
+HTML = (
+    HTML_PARTS
+    + r"""blocks as (select page_id, cast(g - 1 as integer) as block_ix, lower(regexp_extract(a[g], '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag, trim(regexp_replace(a[g], '(?s)^<[^>]*>', '')) as text from parts, unnest(range(1, len(a) + 1)) u(g))"""
+)
 
 
 @query(HTML + " select page_id, block_ix, tag, case when regexp_matches(tag, '^h[1-6]$') then cast(substr(tag, 2, 1) as integer) - 1 end as level, text from blocks")
@@ -95,39 +99,40 @@ def json_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select b.item_id, count(d.doc_id) as n, count(d.doc_id) = 1 as ok, min(d.doc_id) as first_doc
-from benchmark b left join documents d on contains(d.text, substr(b.text, 1, 40)) group by b.item_id"""
+from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id"""
 )
 def selector_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage's beginning as a selector that must match exactly one document."""
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("term"))
+    """Each benchmark passage as a selector that must match exactly one document."""
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
     hits = select.containing(table(spark, sf_dir, "documents"), terms)
     counted = hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return terms.join(counted, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) == 1).alias("ok"), "first_doc")
 
 
 @query(
-    """with h as (select b.item_id, d.doc_id, strpos(d.text, substr(b.text, 1, 40)) as p, row_number() over (partition by b.item_id order by d.doc_id) as k, d.text
-  from benchmark b join documents d on contains(d.text, substr(b.text, 1, 40)))
+    """with h as (select b.item_id, d.doc_id, strpos(d.text, b.text) as p, row_number() over (partition by b.item_id order by d.doc_id) as k, d.text
+  from benchmark b join documents d on contains(d.text, b.text))
 select item_id, doc_id, cast(p - 1 as bigint) as "at", substr(text, greatest(p - 20, 1), 40) as context from h where k <= 5"""
 )
 def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five matches of each selector with 40 characters of context."""
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("term"))
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
     hits = select.first_matches(select.containing(table(spark, sf_dir, "documents"), terms), "item_id", ["doc_id"])
     at = F.instr("text", F.col("term"))
     return hits.select("item_id", "doc_id", (at - 1).cast("bigint").alias("at"), F.substring("text", F.greatest(at - 20, F.lit(1)), F.lit(40)).alias("context"))
 
 
 @query(
-    """with v(raw) as (values ('1'), ('-1'), ('0.5'), ('true'), (null), ('7'), ('-9'), ('+2'), (' 3'))
-select raw, case when regexp_matches(raw, '^-?[0-9]+$') then cast(raw as bigint) end as ix,
-  case when regexp_matches(raw, '^-?[0-9]+$') then case when cast(raw as bigint) between 0 and 7 then cast(raw as bigint) when cast(raw as bigint) between -8 and -1 then cast(raw as bigint) + 8 end end as at from v""".replace("then cast(raw as bigint)", "then try_cast(raw as bigint)")
+    """with v as (select o_orderkey, case o_orderkey % 8 when 0 then cast(o_custkey % 20 as varchar) when 1 then '-' || (o_custkey % 20) when 2 then (o_custkey % 20) || '.5' when 3 then 'true' when 4 then null when 5 then '+' || (o_custkey % 20) when 6 then ' ' || (o_custkey % 20) else '-' || o_orderpriority end as raw from orders),
+i as (select o_orderkey, raw, case when regexp_full_match(raw, '-?[0-9]+') then try_cast(raw as bigint) end as ix from v)
+select o_orderkey, ix, case when ix between 0 and 7 then ix when ix between -8 and -1 then ix + 8 end as at from i"""
 )
 def strict_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only whole numbers are indexes; negative ones count from the end of eight."""
-    v = spark.createDataFrame([(x,) for x in ("1", "-1", "0.5", "true", None, "7", "-9", "+2", " 3")], "raw string")
-    ix = select.strict_index(F.col("raw"))
-    return v.select("raw", ix.alias("ix"), select.from_end(ix, F.lit(8)).alias("at"))
+    n, k = (F.col("o_custkey") % 20).cast("string"), F.col("o_orderkey") % 8
+    forms = [n, F.concat(F.lit("-"), n), F.concat(n, F.lit(".5")), F.lit("true"), F.lit(None).cast("string"), F.concat(F.lit("+"), n), F.concat(F.lit(" "), n), F.concat(F.lit("-"), "o_orderpriority")]
+    ix = select.strict_index(F.element_at(F.array(*forms), (k + 1).cast("int")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ix.alias("ix")).withColumn("at", select.from_end(F.col("ix"), F.lit(8)))
 
 
 @query(
@@ -141,21 +146,21 @@ def block_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "block_ix", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("select doc_id, trim(regexp_replace(replace('  ' || substr(text, 1, 200) || chr(160) || chr(8201) || ' x' || chr(173) || 'y ', chr(173), ''), '[\\s\\x{00a0}\\x{2009}]+', ' ', 'g')) as text from documents".replace("\\\\", "\\"))
+@query("select doc_id, trim(regexp_replace(replace('  ' || text || chr(160) || chr(8201) || ' x' || chr(173) || 'y ', chr(173), ''), '[\\s\\x{00a0}\\x{2009}]+', ' ', 'g')) as text from documents".replace("\\\\", "\\"))
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with injected no-break and thin spaces and a soft hyphen, normalised."""
     docs = table(spark, sf_dir, "documents")
-    raw = F.concat(F.lit("  "), F.substring("text", 1, 200), F.lit("   x­y "))
+    raw = F.concat(F.lit("  "), "text", F.lit("   x­y "))
     return docs.select("doc_id", ft.collapsed(raw).alias("text"))
 
 
 @query(
-    """with w as (select unnest(regexp_extract_all(text, '[a-zA-Z]{5,}')) as word from documents where lang = 'en')
+    """with w as (select unnest(regexp_extract_all(text, '[a-zA-Z]{5,}')) as word from documents)
 select word, length(word) as n_chars, reverse(word) as marker from w group by word having count(*) = 1""".replace("length(word) as", "cast(length(word) as bigint) as")
 )
 def unique_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of five letters or more that occur once, and their reversed markers."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{5,}"), F.lit(0))).alias("word"))
     once = words.groupBy("word").agg(F.count("*").alias("n")).where("n = 1")
     return once.select("word", F.length("word").cast("bigint").alias("n_chars"), F.reverse("word").alias("marker"))

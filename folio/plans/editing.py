@@ -210,12 +210,12 @@ def rotate_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with r as (select conv_id, turn, cast(coalesce(sum(length(t)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as s, t from (select conv_id, turn, substr(text, 1, 20) as t from conversations))
-select conv_id, turn, greatest(s, p.a) as start, least(s + length(t), p.z) as "end", p.m as matched from r, (values (0, 10, false), (10, 25, true), (25, 100000, false)) p(a, z, m) where greatest(s, p.a) < least(s + length(t), p.z)"""
+    """with r as (select conv_id, turn, cast(coalesce(sum(length(t)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as s, t from (select conv_id, turn, text as t from conversations))
+select conv_id, turn, greatest(s, p.a) as start, least(s + length(t), p.z) as "end", p.m as matched from r, (values (0, 10, false), (10, 25, true), (25, 1000000000, false)) p(a, z, m) where greatest(s, p.a) < least(s + length(t), p.z)"""
 )
 def split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs cut where a match over characters 10 to 25 of their paragraph begins and ends."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("run_ix"), F.substring("text", 1, 20).alias("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("run_ix"), "text")
     size = F.length("text").cast("bigint")
     upto = F.sum(size).over(Window.partitionBy("conv_id").orderBy("run_ix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     runs = c.withColumn("end", upto).withColumn("start", F.col("end") - size)

@@ -112,7 +112,7 @@ def overprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.overprinted(lines)
 
 
-ROWS_ = "select conv_id // 4 as doc_id, conv_id % 4 + 1 as page, turn as row_ix, case when turn % 3 = 0 then 1 else 2 end as n_cells, case when turn = 1 then 'Item Amount' when turn = 4 and conv_id % 3 = 0 then 'Item Amount' else substr(text, 1, 10) end as text from conversations"
+ROWS_ = "select conv_id // 4 as doc_id, conv_id % 4 + 1 as page, turn as row_ix, case when turn % 3 = 0 then 1 else 2 end as n_cells, case when turn = 1 then 'Item Amount' when turn = 4 and conv_id % 3 = 0 then 'Item Amount' else text end as text from conversations"
 
 
 @query(
@@ -130,12 +130,16 @@ def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.split_tables(rows).select("doc_id", "page", "message")
 
 
-CONTENTS = [(1, True, "Chapter 1 ........ 3\nChapter 2 ......... 12"), (2, True, "Chapter 1 ........ 3\nChapter 2 .. 12"), (3, False, "nothing"), (4, True, "")]
-
-
-@query("with t(doc_id, has_toc, text) as (values (1, true, 'Chapter 1 ........ 3' || chr(10) || 'Chapter 2 ......... 12'), (2, true, 'Chapter 1 ........ 3' || chr(10) || 'Chapter 2 .. 12'), (3, false, 'nothing'), (4, true, '')) select cast(doc_id as bigint) as doc_id, 'contents are empty' as message from t where has_toc and len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\.{5,}\\s*\\d+\\s*$'))) < 2".replace("\\\\", "\\"))
+@query(
+    """with t as (select conv_id as doc_id, conv_id % 4 <> 0 as has_toc, string_agg('Chapter ' || turn || ' ' || repeat('.', cast(conv_id % 3 * 2 + turn % 4 as integer)) || ' ' || (turn * 7), chr(10) order by turn) as text from conversations group by conv_id)
+select doc_id, 'contents are empty' as message from t where has_toc and len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\.{5,}\\s*\\d+\\s*$'))) < 2""".replace("\\\\", "\\")
+)
 def toc_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = spark.createDataFrame(CONTENTS, "doc_id long, has_toc boolean, text string").withColumn("page", F.lit(1).cast("bigint"))
+    """Contents whose lines mostly lack leaders of five dots."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("Chapter "), F.col("turn").cast("string"), F.lit(" "), F.repeat(F.lit("."), (F.col("conv_id") % 3 * 2 + F.col("turn") % 4).cast("int")), F.lit(" "), (F.col("turn") * 7).cast("string"))
+    lines = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    heads = lines.select("doc_id", (F.col("doc_id") % 4 != 0).alias("has_toc"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), F.lit(1).cast("bigint").alias("page"))
     return gate.contents_without_leaders(heads).select("doc_id", "message")
 
 

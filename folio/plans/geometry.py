@@ -129,11 +129,11 @@ def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(back).select("p_partkey", safe.alias("escaped"), ft.trimmed_decimal(F.col("p_retailprice") / 8).alias("number"))
 
 
-@query(f"with r as ({RECTS}) select page, cast(0 as bigint) as n_bad, count(*) as n from r group by page")
+@query(f"with r as ({RECTS}), s as (select page, id, id * 100.0 as a, id * 100.0 + 50 + id % 3 * 60 as z from r) select s.page, count(o.id) as n_bad, count(distinct s.id) as n from s left join s o on o.page = s.page and o.id < s.id and o.a <= s.z and s.a <= o.z group by s.page")
 def overlapping_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replacement targets of a page that overlap an earlier one: none, as they are cut apart first."""
+    """Replacement targets of a page that overlap an earlier one."""
     r = _rects(spark, sf_dir)
-    spans = r.select("page", "id", (F.col("id") * 100.0).alias("s0"), (F.col("id") * 100.0 + 50).alias("s1"))
+    spans = r.select("page", "id", (F.col("id") * 100.0).alias("s0"), (F.col("id") * 100.0 + 50 + F.col("id") % 3 * 60).alias("s1"))
     other = spans.select("page", F.col("id").alias("o"), F.col("s0").alias("o0"), F.col("s1").alias("o1"))
     bad = lookup.overlapping(spans, other, ["page"], "s0", "s1", "o0", "o1", 200.0).where("o < id").groupBy("page").agg(F.count("*").alias("n_bad"))
     return r.groupBy("page").agg(F.count("*").alias("n")).join(bad, "page", "left").select("page", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "n")

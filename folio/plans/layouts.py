@@ -80,7 +80,7 @@ def neighbour_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with recursive w as (select item_id, string_split_regex(substr(text, 1, 400), '\\s+') as a from benchmark), v as (select item_id, list_filter(a, lambda x: x <> '') as a from w),
+    """with recursive w as (select item_id, string_split_regex(text, '\\s+') as a from benchmark), v as (select item_id, list_filter(a, lambda x: x <> '') as a from w),
 f as (select item_id, a, 0 as i, 0 as cur, 0 as lines from v union all
   select item_id, a, i + 1, case when cur > 0 and cur + 1 + length(a[i + 1]) <= 40 then cur + 1 + length(a[i + 1]) else length(a[i + 1]) end, case when cur > 0 and cur + 1 + length(a[i + 1]) <= 40 then lines else lines + 1 end from f where i < len(a))
 select item_id, cast(max(lines) as integer) as lines from f where i = len(a) group by item_id""".replace("\\\\", "\\")
@@ -106,10 +106,10 @@ def cell_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("l_orderkey", "cell").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count("*").alias("n"))
 
 
-@query("select conv_id, string_agg(case when p is null then text when g > 0.15 and p not like '% ' then ' ' || text else text end, '' order by turn) as text from (select conv_id, turn, substr(text, 1, 12) as text, lag(substr(text, 1, 12)) over (partition by conv_id order by turn) as p, (turn % 3) * 0.1 as g from conversations) group by conv_id")
+@query("select conv_id, string_agg(case when p is null then text when g > 0.15 and p not like '% ' then ' ' || text else text end, '' order by turn) as text from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as p, (turn % 3) * 0.1 as g from conversations) group by conv_id")
 def cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of a cell from its spans: a space where the gap is wide and none is there yet."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     span = F.struct("turn", F.col("turn").cast("double").alias("x0"), (F.col("turn") + 1.0 - ((F.col("turn") + 1) % 3) * 0.1).alias("x1"), F.lit(1.0).alias("size"), "text")
     return c.groupBy("conv_id").agg(layout.joined_cell(F.sort_array(F.collect_list(span))).alias("text"))
 

@@ -89,11 +89,12 @@ def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.size(F.array_except(keys, known)) == 0).alias("address"), F.arrays_overlap(keys, dead).alias("in_deletion"))
 
 
-@query("with v(k, t) as (values (1, 'и в доме 12 кг'), (2, 'цена 5 % — низкая'), (3, 'plain text')) select cast(k as bigint) as k, replace(case k when 1 then 'и@в@доме 12#кг' when 2 then 'цена 5#%@— низкая' else t end, '@', chr(160)).replace('#', chr(8239)) as text from v".replace(".replace('#', chr(8239))", "").replace("select cast(k as bigint) as k, replace(case", "select cast(k as bigint) as k, replace(replace(case").replace("end, '@', chr(160)) as text", "end, '@', chr(160)), '#', chr(8239)) as text"))
+@query("select conv_id, turn, 'в' || chr(160) || 'доме ' || turn || chr(8239) || 'кг' || chr(160) || '— и' || chr(160) || role || ' ' || (turn * 5) || chr(8239) || '%' as text from conversations")
 def glued_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short words, units and dashes tied to their neighbours."""
-    v = spark.createDataFrame([(1, "и в доме 12 кг"), (2, "цена 5 % — низкая"), (3, "plain text")], "k long, t string")
-    return v.select("k", ft.glued(F.col("t")).alias("text"))
+    c = table(spark, sf_dir, "conversations")
+    plain = F.concat(F.lit("в доме "), F.col("turn").cast("string"), F.lit(" кг — и "), "role", F.lit(" "), (F.col("turn") * 5).cast("string"), F.lit(" %"))
+    return c.select("conv_id", "turn", ft.glued(plain).alias("text"))
 
 
 @query(
@@ -112,15 +113,18 @@ def replace_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with b as (select item_id, substr(text, 1, 300) as t from benchmark), w as (select item_id, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') as a from b)
-select item_id, cast(list_max(list_transform(a, lambda x: length(x))) as bigint) as widest, list_max(list_transform(a, lambda x: length(x))) * 6 <= 300 as fits from w""".replace("\\\\", "\\")
+    """with recursive w as (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as a from benchmark),
+f as (select item_id, a, 0 as i, 0 as cur, 0 as lines from w union all
+  select item_id, a, i + 1, case when cur > 0 and cur + 1 + length(a[i + 1]) <= 50 then cur + 1 + length(a[i + 1]) else length(a[i + 1]) end, case when cur > 0 and cur + 1 + length(a[i + 1]) <= 50 then lines else lines + 1 end from f where i < len(a)),
+l as (select item_id, max(lines) as lines from f where i = len(a) group by item_id)
+select item_id, cast(list_max(list_transform(a, lambda x: length(x))) as bigint) as widest, list_max(list_transform(a, lambda x: length(x))) <= 50 and lines > 0 and lines * 12 <= 80 as fits from w join l using (item_id)""".replace("\\\\", "\\")
 )
 def insert_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether texts fit a rectangle of 300 by 500 unshrunk: widths by the character model, heights by the wrap."""
-    b = table(spark, sf_dir, "benchmark").withColumn("t", F.substring("text", 1, 300))
-    widest = F.array_max(F.transform(F.filter(F.split("t", r"\s+"), lambda w: w != ""), F.length)).cast("bigint")
-    lines = layout.wrapped(F.col("t"), 50)
-    ok = geo.valid_rectangle(F.lit(0.0), F.lit(0.0), F.lit(300.0), lines * 12.0, 300, 500)
+    """Whether whole passages fit a rectangle of 300 by 80 unshrunk: widths by the character model, heights by the wrap."""
+    b = table(spark, sf_dir, "benchmark")
+    widest = F.array_max(F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.length)).cast("bigint")
+    lines = layout.wrapped(F.col("text"), 50)
+    ok = geo.valid_rectangle(F.lit(0.0), F.lit(0.0), F.lit(300.0), lines * 12.0, 300, 80)
     return b.select("item_id", widest.alias("widest"), ok.alias("fits"))
 
 

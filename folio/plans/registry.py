@@ -30,8 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
+    """Cuts the lineage by a copy in the folder of ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Where the session names none, a temporary one if all runs on this machine; on a
+    cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="folio-shared-")

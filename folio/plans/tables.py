@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as ft
 from folio.operators import grids
+from folio.plans.blocks import HTML_PARTS
 from folio.plans.layouts import LINE_KEY
 from folio.plans.registry import query, table
 from folio.sources import blocks as src
 
 PIPES = "select doc_id, cast(g - 1 as integer) as row_ix, string_split(a[g], '|') as c from (select doc_id, string_split(text, chr(10)) as a from documents) d, unnest(range(1, len(a) + 1)) u(g) where contains(a[g], '|')"
 CELLS = f"select doc_id, row_ix, cast(h - 1 as integer) as col_ix, trim(c[h]) as text from ({PIPES}) p, unnest(range(1, len(c) + 1)) v(h)"
-NUMBER = r"^[\s+\-−–]?[\d\s\x{00a0}.,]+\s*(%|‰|₽|\$|€|п\.п\.|млн|млрд|тыс\.?)?$"
+#: The same pattern as the other engine spells it.
+NUMBER = ft.NUMBER.replace("\\u00a0", "\\x{00a0}")
 
 
 @query(
@@ -64,12 +66,16 @@ def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with v(t) as (values ('412,0'), ('+14,2 %'), ('−3,5 %'), ('+3,8 п.п.'), ('1 200 млн'), ('abc'), ('1e5'), (''), ('-7'), ('12.5 €'), ('5 apples')) select t as text, t <> '' and regexp_matches(t, '{NUMBER}') as numeric from v"""
+    f"""with v as (select o_orderkey, cast(o_custkey as varchar) as n, o_orderkey % 10 as k, o_orderpriority as p from orders),
+t as (select o_orderkey, case k when 0 then n || ',0' when 1 then '+' || n || ',2 %' when 2 then '−3,' || n || ' %' when 3 then n || ' 200 млн' when 4 then p when 5 then n || 'e5' when 6 then '' when 7 then n || chr(160) || '000 €' when 8 then n || ' ' || p else '+3,8 п.п.' end as text from v)
+select o_orderkey, text, text <> '' and regexp_matches(text, '{NUMBER}') as numeric from t"""
 )
 def number_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which literals count as numbers."""
-    values = ["412,0", "+14,2 %", "−3,5 %", "+3,8 п.п.", "1 200 млн", "abc", "1e5", "", "-7", "12.5 €", "5 apples"]
-    return spark.createDataFrame([(v,) for v in values], "text string").select("text", ((F.col("text") != "") & ft.is_number(F.col("text"))).alias("numeric"))
+    """Which cells count as numbers: signs, groups, decimal commas and units."""
+    n, k, p = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 10, F.col("o_orderpriority")
+    forms = [(n, ",0"), ("+", n, ",2 %"), ("−3,", n, " %"), (n, " 200 млн"), (p,), (n, "e5"), ("",), (n, "\u00a0000 €"), (n, " ", p), ("+3,8 п.п.",)]
+    text = F.element_at(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in form]) for form in forms]), (k + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).withColumn("numeric", (F.col("text") != "") & ft.is_number(F.col("text")))
 
 
 @query(f"with c as ({CELLS}) select doc_id, col_ix, cast(least(greatest(max(length(text)), 4), 40) as bigint) as weight from c group by doc_id, col_ix")
@@ -98,16 +104,20 @@ def contact_sheet_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id")
     ranged = pages.withColumn("part", F.floor(F.col("page_id") / 4096))
     before = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = before.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Sums of ranges of ranges first, so that the window over all has a row for each 4096 * 4096 ids.
+    coarse = before.withColumn("whole", F.floor(F.col("part") / 4096))
+    totals = coarse.groupBy("whole").agg(F.sum("n").alias("t"))
+    earlier = totals.select("whole", F.coalesce(F.sum("t").over(Window.orderBy("whole").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("whole").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = coarse.withColumn("inside", inside).join(earlier, "whole").select("part", (F.col("earlier") + F.col("inside")).alias("before"))
     placed = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("page_id"))).join(offsets, "part")
     p = F.col("before") + F.col("k") - 1
     return placed.select("page_id", F.floor(p / 24).alias("sheet"), F.floor((p % 24) / 4).alias("row_ix"), (p % 4).alias("col_ix"))
 
 
 @query(
-    r"""with bare as (select page_id, regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gis') as h from pages),
-parts as (select page_id, regexp_extract_all(h, '<[a-zA-Z][a-zA-Z0-9]*\b[^>]*>[^<]*') as a from bare),
-b as (select page_id, cast(g - 1 as integer) as block_ix, lower(regexp_extract(a[g], '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from parts, unnest(range(1, len(a) + 1)) u(g)),
+    HTML_PARTS
+    + r"""b as (select page_id, cast(g - 1 as integer) as block_ix, lower(regexp_extract(a[g], '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from parts, unnest(range(1, len(a) + 1)) u(g)),
 n as (select page_id, block_ix, tag, sum(case when tag = 'h1' then 1 else 0 end) over (partition by page_id order by block_ix rows unbounded preceding) as h, tag = 'p' as is_p from b),
 c as (select page_id, block_ix, tag, h, sum(case when is_p then 1 else 0 end) over (partition by page_id, h order by block_ix rows unbounded preceding) as k from n)
 select page_id, block_ix, h || '.' || k as number from c where tag in ('h1', 'p')"""

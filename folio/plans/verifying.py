@@ -51,19 +51,18 @@ def links_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.missing(links, links.where(~F.contains("href", F.lit("and"))), ["page_id", "href"])
 
 
-FONTS = ["ABCDEF+TimesNewRomanPS-BoldMT", "Arial,Bold", "Helvetica", "DejaVuSans-Oblique", "GHIJKL+Georgia"]
-
-
 @query(
-    """with f(font) as (values ('ABCDEF+TimesNewRomanPS-BoldMT'), ('Arial,Bold'), ('Helvetica'), ('DejaVuSans-Oblique'), ('GHIJKL+Georgia')),
-n as (select font, regexp_replace(regexp_replace(lower(string_split_regex(string_split(font, '+')[-1], '[-,]')[1]), '[^a-z0-9]', '', 'g'), '(psmt|mt|ps)$', '') as family from f)
-select font, family from n where family not in ('timesnewroman', 'georgia')"""
+    """with b as (select p_partkey, p_size, replace(replace(p_brand, '#', ''), ' ', '') as n, p_partkey % 4 as k from part),
+f as (select p_partkey, case k when 0 then 'ABCDEF+' || n || 'PS-BoldMT' when 1 then n || ',Bold' when 2 then n || 'MT' else n || '-Oblique' end as font, lower(n) as family, p_size from b),
+i as (select distinct family from f where p_partkey % 97 = 0) select p_partkey, font, family from f where family not in (select family from i)"""
 )
 def fonts_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared fonts whose family isn't installed."""
-    declared = spark.createDataFrame([(f,) for f in FONTS], "font string").withColumn("family", ft.family(F.col("font")))
-    installed = spark.createDataFrame([("timesnewroman",), ("georgia",)], "family string")
-    return declared.join(installed, "family", "left_anti").select("font", "family")
+    """Declared fonts whose family no installed file has."""
+    p = table(spark, sf_dir, "part")
+    name, k = F.regexp_replace("p_brand", "[# ]", ""), F.col("p_partkey") % 4
+    font = F.when(k == 0, F.concat(F.lit("ABCDEF+"), name, F.lit("PS-BoldMT"))).when(k == 1, F.concat(name, F.lit(",Bold"))).when(k == 2, F.concat(name, F.lit("MT"))).otherwise(F.concat(name, F.lit("-Oblique")))
+    declared = p.select("p_partkey", font.alias("font"), "p_size").withColumn("family", ft.family(F.col("font")))
+    return declared.join(declared.where("p_partkey % 97 = 0").select("family").distinct(), "family", "left_anti").select("p_partkey", "font", "family")
 
 
 @query("select doc_id, sha2, crc from (select doc_id, sha256(text) as sha2, length(text) as crc from documents)".replace("length(text) as crc", "cast(length(text) as bigint) as crc").replace("select doc_id, sha2, crc", "select doc_id, sha2, crc as n_chars"))

@@ -31,13 +31,16 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, block_ix, tag, level (h1 = 0), text: opening tags in order with the text up to the next tag.
+    """key, block_ix, tag, level (h1 = 0), text: opening tags in order with the text up to the next tag, and text that follows a closing tag
+    or stands before any, with an empty tag.
 
-    Scripts, styles and comments are dropped first; tags need not be closed.
+    Scripts, styles and comments are dropped first; tags need not be closed; a sign that opens no tag is text.
     """
     bare = F.regexp_replace(F.col(html), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    parts = F.regexp_extract_all(bare, F.lit(r"(?s)<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>([^<]*)"), F.lit(0))
-    tags = pages.select(F.col(key), F.posexplode(parts).alias("block_ix", "raw"))
+    bare = F.regexp_replace(bare, r"<([^a-zA-Z/!?])", "&lt;$1")
+    parts = F.regexp_extract_all(bare, F.lit(r"(?s)^[^<]+|<[/!?]?[a-zA-Z][^>]*>[^<]*"), F.lit(0))
+    told = F.filter(parts, lambda p: p.rlike("^<[a-zA-Z]") | (F.trim(F.regexp_replace(p, r"(?s)^<[^>]*>", "")) != ""))
+    tags = pages.select(F.col(key), F.posexplode(told).alias("block_ix", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
     level = F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int") - 1)
     return tags.select(key, "block_ix", tag.alias("tag"), level.alias("level"), F.trim(F.regexp_replace("raw", r"(?s)^<[^>]*>", "")).alias("text"))

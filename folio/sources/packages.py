@@ -6,11 +6,13 @@ are. XML with a document type is refused, so no entity is ever resolved.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +35,20 @@ class Refused(ValueError):
 def parse(data: bytes) -> ElementTree.Element:
     if len(data) > LARGEST_PART:
         raise Refused("a part is too large")
-    if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data:
+    def refuse(*_: object) -> None:
         raise Refused("document types are not read")
+
+    def begun(*_: object) -> None:
+        raise StopIteration
+
+    # The parser itself reports a document type, whatever the encoding that hides it; one stands before the first element or nowhere.
+    before = expat.ParserCreate()
+    before.StartDoctypeDeclHandler, before.StartElementHandler = refuse, begun
     try:
+        with contextlib.suppress(StopIteration):
+            before.Parse(data, True)
         return ElementTree.fromstring(data)
-    except ElementTree.ParseError as e:
+    except (ElementTree.ParseError, expat.ExpatError) as e:
         raise Refused(str(e)) from e
 
 
@@ -69,15 +80,23 @@ def _content(parent: ElementTree.Element) -> Iterator[ElementTree.Element]:
 
 
 def _text(p: ElementTree.Element) -> str:
+    """A paragraph's own text: paragraphs inside it, such as those of text boxes, are others'."""
     out = []
-    for r in p.iter():
+    for r in p:
         if r.tag == f"{W}t":
             out.append(r.text or "")
         elif r.tag in (f"{W}tab", f"{W}br"):
             out.append(" ")
+        elif r.tag != f"{W}p":
+            out.append(_text(r))
     return "".join(out)
 
 
+def _cell_text(tc: ElementTree.Element) -> str:
+    """A cell's own paragraphs, without those of tables inside it."""
+    return "\n".join(_text(p) for p in _content(tc) if p.tag == f"{W}p")
+
+
 def _value(el: ElementTree.Element | None, path: str, name: str = "val") -> str | None:
     found = el.find(path) if el is not None else None
     return found.get(f"{W}{name}") if found is not None else None
@@ -96,7 +115,7 @@ def read_blocks(data: bytes) -> list[tuple]:
             level = _value(props, f"{W}outlineLvl")
             out.append((len(out), "paragraph", _value(props, f"{W}pStyle") or "Normal", int(level) if level else None, props is not None and props.find(f"{W}numPr") is not None, _text(el)))
         elif el.tag == f"{W}tbl":
-            rows = [" | ".join("\n".join(_text(p) for p in c.iter(f"{W}p")) for c in _content(tr) if c.tag == f"{W}tc") for tr in _content(el) if tr.tag == f"{W}tr"]
+            rows = [" | ".join(_cell_text(c) for c in _content(tr) if c.tag == f"{W}tc") for tr in _content(el) if tr.tag == f"{W}tr"]
             out.append((len(out), "table", None, None, False, "\n".join(rows)))
     return out
 
@@ -130,7 +149,7 @@ def read_cells(data: bytes) -> list[tuple]:
                 props = tc.find(f"{W}tcPr")
                 span = int(_value(props, f"{W}gridSpan") or 1)
                 merge = props.find(f"{W}vMerge") if props is not None else None
-                out.append((k, i, j, start, span, None if merge is None else merge.get(f"{W}val", "continue"), "\n".join(_text(p) for p in tc.iter(f"{W}p"))))
+                out.append((k, i, j, start, span, None if merge is None else merge.get(f"{W}val", "continue"), _cell_text(tc)))
                 start += span
     return out
 
@@ -144,8 +163,7 @@ def read_styles(data: bytes) -> list[tuple]:
     out = []
     for s in parse(z.read(name)).iter(f"{W}style"):
         title, level = _value(s, f"{W}name"), _value(s, f"{W}pPr/{W}outlineLvl")
-        heading = re.fullmatch(r"heading (\d)", title or "", re.I)
-        out.append((s.get(f"{W}styleId"), title, int(level) if level else int(heading[1]) - 1 if heading else None, _value(s, f"{W}basedOn")))
+        out.append((s.get(f"{W}styleId"), title, int(level) if level else None, _value(s, f"{W}basedOn")))
     return out
 
 
@@ -211,9 +229,12 @@ def parts(packages: DataFrame) -> DataFrame:
 
 
 def styled(blocks: DataFrame, styles: DataFrame) -> DataFrame:
-    """Blocks with the level of their own or of their style, inherited over parents ten steps at most."""
+    """Blocks with the level of their own or of their style, inherited over parents ten steps at most; where that chain gives none, the
+    nearest name in it that begins with "heading" and a digit does."""
     from folio.operators.lookup import inherited
 
-    keyed = styles.select(F.struct("path", "style_id").alias("k"), F.when(F.col("based_on").isNotNull(), F.struct("path", F.col("based_on").alias("style_id"))).alias("p"), "outline")
-    levels = inherited(keyed, "k", "p", "outline").select(F.col("k.path").alias("path"), F.col("k.style_id").alias("style_id"), "outline")
+    keyed = styles.select(F.struct("path", "style_id").alias("k"), F.when(F.col("based_on").isNotNull(), F.struct("path", F.col("based_on").alias("style_id"))).alias("p"), "outline", "name")
+    named = keyed.select("k", "p", (F.regexp_extract("name", r"(?i)^heading\s*(\d)", 1).try_cast("int") - 1).alias("named"))
+    levels = inherited(keyed, "k", "p", "outline").join(inherited(named, "k", "p", "named"), "k")
+    levels = levels.select(F.col("k.path").alias("path"), F.col("k.style_id").alias("style_id"), F.coalesce("outline", "named").alias("outline"))
     return blocks.join(levels, ["path", "style_id"], "left").withColumn("level", F.coalesce("level", "outline")).drop("outline")

@@ -82,3 +82,45 @@ def test_stream(spark, tmp_path):
     oplog.each_batch(stream, lambda df, k: seen.append((k, df.count())), str(tmp_path / "ck")).awaitTermination()
     assert seen == [(0, 2)]
     assert oplog.windowed(stream).isStreaming
+
+
+def test_nested_text_and_hidden_document_types():
+    """A cell's text is its own, a paragraph's too; a document type is refused in any encoding."""
+    from xml.etree import ElementTree
+
+    tc = ElementTree.fromstring(f'<w:tc {W}><w:p><w:r><w:t>own</w:t><w:txbx><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbx></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/></w:tc>')
+    assert packages._cell_text(tc) == "own\n"
+    for encoding in ("utf-8", "utf-16"):
+        with pytest.raises(packages.Refused, match="document types"):
+            packages.parse(f'<?xml version="1.0" encoding="{encoding}"?>{" " * 5000}<!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'.encode(encoding))
+    assert packages.parse(b"<a><!-- <!DOCTYPE b> --></a>").tag == "a"
+
+
+def test_page_texts_keep_all_text(spark):
+    html = "lead <p>one <b>two</b> three <i>four</i> five 3 < 4</p><script>x</script> tail"
+    got = blocks.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).orderBy("block_ix").collect()
+    assert [(r["tag"], r["text"]) for r in got] == [("", "lead"), ("p", "one"), ("b", "two"), ("", "three"), ("i", "four"), ("", "five 3 &lt; 4"), ("", "tail")]
+
+
+def test_terms_in_blocks(spark):
+    """Every term that a text holds, overlapping ones too, whatever the slices."""
+    from folio.operators import select
+
+    rows = [(1, "she sells hers"), (2, None), (3, ""), (4, "he"), (4, "he")]
+    terms = [(1, "he"), (2, "she"), (3, "hers"), (4, ""), (5, None), (6, "he"), (7, "none")]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(terms, "item long, term string")
+    plain = sorted((i, k) for i, t in rows for k, s in terms if t and s and s in t)
+    for most in (select.MOST_TERMS, 2):
+        select.MOST_TERMS, kept = most, select.MOST_TERMS
+        assert sorted((r["doc_id"], r["item"]) for r in select.containing(docs, wanted).collect()) == plain
+        select.MOST_TERMS = kept
+    assert select.containing(docs, wanted.limit(0)).count() == 0
+
+
+def test_inherited_steps(spark):
+    """A value ten steps up is found, one eleven up is not."""
+    from folio.operators import lookup
+
+    chain = spark.createDataFrame([(i, i - 1, 7 if i == 0 else None) for i in range(14)], "k long, p long, v int")
+    got = {r["k"]: r["v"] for r in lookup.inherited(chain, "k", "p", "v").collect()}
+    assert got == {i: 7 if i <= 10 else None for i in range(14)}
