@@ -64,13 +64,17 @@ class Spill:
         """Remove the files, and let Spark's cleaner see that the shuffles behind them are done with."""
         del self.df
         release(self.spark)
-        parsed = urlparse(self.path)
-        if parsed.scheme in ("", "file"):
-            shutil.rmtree(parsed.path, ignore_errors=True)
-            return
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    parsed = urlparse(path)
+    if parsed.scheme in ("", "file"):
+        shutil.rmtree(parsed.path, ignore_errors=True)
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
