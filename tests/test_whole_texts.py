@@ -50,3 +50,19 @@ def test_table_split_compares_whole_rows(spark, tmp_path):
     rows = table(1, "the header of one table", "the header of another") + table(2, "the header of one table", "the header of one table")
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [(r["doc_id"], r["page"]) for r in gating.table_split(spark, str(tmp_path)).collect()] == [(2, 2)]
+
+
+def test_differences_turn_the_old_words_into_the_new(spark):
+    rng = random.Random(8)
+    words = lambda: [rng.choice("abcdef") for _ in range(rng.randrange(30))]
+    rows = [(k, words(), words()) for k in range(60)] + [(60, None, ["x"]), (61, ["x"], None), (62, ["same"], ["same"])]
+    found = compare.opcodes(spark.createDataFrame(rows, "key long, old array<string>, new array<string>")).collect()
+    for key, old, new in rows:
+        old, new = old or [], new or []
+        out, at = [], 0
+        for r in sorted((r for r in found if r["key"] == key), key=lambda r: (r["old0"], r["new0"])):
+            out += old[at : r["old0"]] + new[r["new0"] : r["new1"]]
+            at = r["old1"]
+        assert out + old[at:] == new
+        plain = [c for c in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes() if c[0] != "equal"]
+        assert [tuple(r)[1:] for r in found if r["key"] == key] == plain
