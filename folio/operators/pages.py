@@ -90,3 +90,69 @@ def strip_difference(old: Column, new: Column, old_at: Column | int, new_at: Col
 
 def strips_equal(share: Column) -> Column:
     return share <= STRIP_SHARE
+
+
+#: Width of a character in sizes of its font (a model; the engine measures no glyphs), pad around a picture, slack at the floor.
+CHARACTER, PAD, FLOOR_SLACK = 0.5, 8.0, 0.5
+
+
+def without_room(spans: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Gaps (y, height, floor) for which a page has no room: what lies from y to the floor can't move down by so much."""
+    own = gaps.select(*KEYS, "y", "height", "floor")
+    moving = F.max(F.when((F.col("baseline") >= F.col("y")) & (F.col("baseline") < F.col("floor")), F.col("y1")))
+    bottoms = own.join(spans.select(*KEYS, "baseline", "y1"), KEYS, "left").groupBy(*KEYS, "y", "height", "floor").agg(F.coalesce(moving, F.first("y")).alias("_bottom"))
+    return refusals(bottoms.where(F.col("_bottom") + F.col("height") > F.col("floor") + FLOOR_SLACK), "no room")
+
+
+def opened(spans: DataFrame, gaps: DataFrame, refused: DataFrame) -> DataFrame:
+    """Spans after gaps (y, height, floor) are opened: what lies from y to the floor moves down. Pages in ``refused`` stay as they are."""
+    applied = gaps.select(*KEYS, "y", "height", "floor").join(refused.select(*KEYS).distinct(), KEYS, "left_anti")
+    joined = spans.join(applied, KEYS, "left")
+    moves = F.coalesce((F.col("baseline") >= F.col("y")) & (F.col("baseline") < F.col("floor")), F.lit(False))
+    shift = F.when(moves, F.col("height")).otherwise(F.lit(0.0))
+    return joined.select(*[(F.col(c) + shift).alias(c) if c in ("y0", "y1", "baseline") else F.col(c) for c in spans.columns])
+
+
+def text_width(text: Column, size: Column) -> Column:
+    return F.length(text) * size * CHARACTER
+
+
+def selected_rows(rows: DataFrame, selectors: DataFrame) -> DataFrame:
+    """doc_id, page, selector, n, row_ix: the row whose cells (array of text), joined by blanks or by pipes, hold a selector; null unless it is one."""
+    flat = lambda sep: F.trim(F.regexp_replace(F.array_join("cells", sep), r"\s+", " "))
+    joined = selectors.select(*KEYS, "selector").join(rows.select(*KEYS, "row_ix", flat(" ").alias("_a"), flat(" | ").alias("_b")), KEYS, "left")
+    wanted = F.trim(F.regexp_replace("selector", r"\s+", " "))
+    hit = (wanted != "") & (F.contains("_a", wanted) | F.contains("_b", wanted))
+    counted = joined.groupBy(*KEYS, "selector").agg(F.count_if(hit).alias("n"), F.min(F.when(hit, F.col("row_ix"))).alias("row_ix"))
+    return counted.withColumn("row_ix", F.when(F.col("n") == 1, F.col("row_ix")))
+
+
+def set_cells(spans: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans with new texts, refusals). ``cells``: doc_id, page, span_ix, text, align, left, right: the room of the cell's column. A text that doesn't
+    fit refuses; an empty one takes the span away."""
+    own = cells.select(*KEYS, "span_ix", F.col("text").alias("_new"), "align", F.col("left").alias("_left"), F.col("right").alias("_right"))
+    joined = spans.join(own, [*KEYS, "span_ix"], "left")
+    width = text_width(F.col("_new"), F.col("size"))
+    start = geo.placed(F.col("align"), F.col("x0"), F.col("x1"), width)
+    wide = F.col("_new").isNotNull() & (F.col("_new") != "") & ((start < F.col("_left") - FLOOR_SLACK) | (start + width > F.col("_right") + FLOOR_SLACK))
+    told = joined.withColumns({"_start": start, "_width": width, "_wide": F.coalesce(wide, F.lit(False))})
+    changed = F.col("_new").isNotNull() & ~F.col("_wide")
+    new = {"text": F.when(changed, F.col("_new")).otherwise(F.col("text")), "x0": F.when(changed, F.col("_start")).otherwise(F.col("x0")), "x1": F.when(changed, F.col("_start") + F.col("_width")).otherwise(F.col("x1"))}
+    out = told.where(~(changed & (F.col("_new") == ""))).select(*[new[c].alias(c) if c in new else F.col(c) for c in spans.columns])
+    return out, refusals(told.where("_wide"), "text doesn't fit its column")
+
+
+def block_bands(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, page, top, bottom: what goes with a block (block_ix) of ``blocks`` (block_ix, y0, y1, lines): the space up to the next one, where that is less
+    than three lines; else the space after the one before; else the block alone."""
+    own = chosen.select(*KEYS, "block_ix").join(blocks, [*KEYS, "block_ix"]).select(*KEYS, "block_ix", F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), "lines")
+    near = own.join(blocks.select(*KEYS, F.col("block_ix").alias("_o"), "y0", "y1"), KEYS).groupBy(*KEYS, "block_ix", "_y0", "_y1", "lines")
+    edges = near.agg(F.min(F.when((F.col("_o") != F.col("block_ix")) & (F.col("y0") >= F.col("_y1") - 0.5), F.col("y0"))).alias("_next"), F.max(F.when((F.col("_o") != F.col("block_ix")) & (F.col("y1") <= F.col("_y0") + 0.5), F.col("y1"))).alias("_before"))
+    follows = F.col("_next") - F.col("_y1") < 3 * (F.col("_y1") - F.col("_y0")) / F.greatest(F.col("lines"), F.lit(1))
+    top = F.when(F.coalesce(follows, F.lit(False)), F.col("_y0")).otherwise(F.coalesce("_before", "_y0"))
+    return edges.select(*KEYS, "block_ix", top.alias("top"), F.when(F.coalesce(follows, F.lit(False)), F.col("_next")).otherwise(F.col("_y1")).alias("bottom"))
+
+
+def picture_gap(width: Column, high: Column, wide: Column, room: Column) -> Column:
+    """Height of the gap that a picture needs at a width, no wider than its room, aspect kept, with a pad on either side."""
+    return F.least(width, room) * high / wide + 2 * PAD

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.operators import pages
+from folio.functions import geometry as geo
+from folio.operators import layout, pages
 from folio.plans.gating import SPANS, _spans
 from folio.plans.registry import query, table
 
@@ -101,3 +102,123 @@ def strip_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
     share = pages.strip_difference(F.col("p"), F.col("q"), 8, 4, 32)
     return joined.select("vec_id", share.alias("share")).withColumn("same", pages.strips_equal(F.col("share")))
+
+
+#: The first line of each page, and the room that a line of 14 points needs under it.
+FIRST = "select *, row_number() over (partition by doc_id, page order by y0, x0, l_partkey, l_suppkey, l_extendedprice) as k from s"
+GAPS = "select doc_id, page, y1 as y, cast(14 as double) as height, cast(810 as double) as floor, x0 as fx, y0 as fy from f where k = 1"
+NO_ROOM = "select g.doc_id, g.page from g left join s on s.doc_id = g.doc_id and s.page = g.page group by g.doc_id, g.page, g.y, g.height, g.floor having coalesce(max(case when s.y1 - 3 >= g.y and s.y1 - 3 < g.floor then s.y1 end), g.y) + g.height > g.floor + 0.5"
+
+
+def _first(s: DataFrame) -> DataFrame:
+    w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "l_partkey", "l_suppkey", "l_extendedprice")
+    return s.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+def _gaps(s: DataFrame) -> DataFrame:
+    return _first(s).select("doc_id", "page", F.col("y1").alias("y"), F.lit(14.0).alias("height"), F.lit(810.0).alias("floor"))
+
+
+@query(
+    f"""with s as ({SPANS}), f as ({FIRST}), g as ({GAPS}), r as ({NO_ROOM}), a as (select g.* from g left join r on r.doc_id = g.doc_id and r.page = g.page where r.doc_id is null)
+select s.doc_id, s.page, s.text, s.x0, case when a.y is not null and s.y1 - 3 >= a.y and s.y1 - 3 < a.floor then s.y0 + 14 else s.y0 end as y0 from s left join a on a.doc_id = s.doc_id and a.page = s.page
+union all select doc_id, page, 'added', fx, fy + 14 from a"""
+)
+def page_row_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row like each page's first one under it; what is below moves down, pages without room stay as they are."""
+    s = _laid(spark, sf_dir)
+    gaps = _gaps(s)
+    refused = pages.without_room(s, gaps)
+    moved = pages.opened(s, gaps, refused).select("doc_id", "page", "text", "x0", "y0")
+    new = _first(s).join(refused, ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit("added").alias("text"), "x0", (F.col("y0") + 14).alias("y0"))
+    return moved.unionAll(new)
+
+
+@query(f"with s as ({SPANS}), f as ({FIRST}), g as ({GAPS}) select doc_id, page, 'no room' as reason from ({NO_ROOM}) x")
+def page_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without room for another line."""
+    s = _laid(spark, sf_dir)
+    return pages.without_room(s, _gaps(s))
+
+
+CELLS_ = f"""with s as ({SPANS}), c as (select *, case when l_partkey % 3 = 0 then '' when l_partkey % 3 = 1 then 'short' else repeat('long text ', cast(l_partkey % 7 as integer)) end as new, case when l_suppkey % 3 = 0 then 'left' when l_suppkey % 3 = 1 then 'right' else 'center' end as align from s where l_partkey % 5 = 0),
+w as (select *, length(new) * size * 0.5 as wd from c), p as (select *, case align when 'right' then x1 - wd when 'center' then (x0 + x1 - wd) / 2 else x0 end as nx from w), q as (select *, new <> '' and (nx < 20 - 0.5 or nx + wd > 575 + 0.5) as wide from p)"""
+
+
+def _new_cells(s: DataFrame) -> DataFrame:
+    new = F.when(F.col("l_partkey") % 3 == 0, "").when(F.col("l_partkey") % 3 == 1, "short").otherwise(F.repeat(F.lit("long text "), (F.col("l_partkey") % 7).cast("int")))
+    align = F.when(F.col("l_suppkey") % 3 == 0, "left").when(F.col("l_suppkey") % 3 == 1, "right").otherwise("center")
+    return s.where("l_partkey % 5 = 0").select("doc_id", "page", "span_ix", new.alias("text"), align.alias("align"), F.lit(20.0).alias("left"), F.lit(575.0).alias("right"))
+
+
+def _indexed(s: DataFrame) -> DataFrame:
+    return s.withColumn("span_ix", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+
+
+@query(
+    CELLS_
+    + """ select doc_id, page, case when wide then text else new end as text, case when wide then x0 else nx end as x0 from q where wide or new <> '' union all select doc_id, page, text, x0 from s where l_partkey % 5 <> 0"""
+)
+def page_cells_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New texts of some cells, placed by their alignment; empty ones take the span away, ones that don't fit change nothing."""
+    s = _indexed(_laid(spark, sf_dir))
+    return pages.set_cells(s, _new_cells(s))[0].select("doc_id", "page", "text", "x0")
+
+
+@query(CELLS_ + " select doc_id, page, 'text doesn''t fit its column' as reason from q where wide")
+def page_cells_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _indexed(_laid(spark, sf_dir))
+    return pages.set_cells(s, _new_cells(s))[1]
+
+
+@query(
+    """with r as (select conv_id // 4 as doc_id, conv_id % 4 + 1 as page, turn as row_ix, role || ' ' || turn || '   ' || length(text) as a, role || ' | ' || turn || ' | ' || length(text) as b from conversations),
+n as (select doc_id, page, row_ix, trim(regexp_replace(a, '\\s+', ' ', 'g')) as a, b from r),
+s as (select distinct doc_id, page, unnest(['user 0', 'assistant | 1', 'user  2', 'nobody', '']) as selector from r),
+w as (select *, trim(regexp_replace(selector, '\\s+', ' ', 'g')) as t from s)
+select w.doc_id, w.page, w.selector, count(*) filter (where w.t <> '' and (contains(n.a, w.t) or contains(n.b, w.t))) as n, case when count(*) filter (where w.t <> '' and (contains(n.a, w.t) or contains(n.b, w.t))) = 1 then min(n.row_ix) filter (where w.t <> '' and (contains(n.a, w.t) or contains(n.b, w.t))) end as row_ix
+from w left join n on n.doc_id = w.doc_id and n.page = w.page group by w.doc_id, w.page, w.selector""".replace("\\\\", "\\")
+)
+def row_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows named by their cells' texts, joined by blanks or by pipes; only one row may hold them."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(F.floor(F.col("conv_id") / 4).alias("doc_id"), (F.col("conv_id") % 4 + 1).alias("page"), F.col("turn").alias("row_ix"), F.array(F.col("role"), F.col("turn").cast("string"), F.length("text").cast("string")).alias("cells"))
+    wanted = F.explode(F.array(*map(F.lit, ("user 0", "assistant | 1", "user  2", "nobody", ""))))
+    return pages.selected_rows(rows, rows.select("doc_id", "page").distinct().select("doc_id", "page", wanted.alias("selector")))
+
+
+@query(
+    f"""with s as ({SPANS}), b as (select doc_id, page, cast(floor(y0 / 100) as bigint) as block_ix, min(y0) as y0, max(y1) as y1, count(distinct y0) as lines from s group by 1, 2, 3), c as (select doc_id, page, min(block_ix) as block_ix from b group by 1, 2),
+e as (select o.doc_id, o.page, o.block_ix, o.y0, o.y1, o.lines, min(case when b.block_ix <> o.block_ix and b.y0 >= o.y1 - 0.5 then b.y0 end) as nx, max(case when b.block_ix <> o.block_ix and b.y1 <= o.y0 + 0.5 then b.y1 end) as pv from b o join c using (doc_id, page, block_ix) join b on b.doc_id = o.doc_id and b.page = o.page group by 1, 2, 3, 4, 5, 6)
+select doc_id, page, block_ix, case when coalesce(nx - y1 < 3 * (y1 - y0) / lines, false) then y0 else coalesce(pv, y0) end as top, case when coalesce(nx - y1 < 3 * (y1 - y0) / lines, false) then nx else y1 end as bottom from e"""
+)
+def page_block_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes when each page's first block is deleted: it and the space that belongs to it."""
+    s = _laid(spark, sf_dir)
+    blocks = s.groupBy("doc_id", "page", F.floor(F.col("y0") / 100).alias("block_ix")).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.countDistinct("y0").alias("lines"))
+    return pages.block_bands(blocks, blocks.groupBy("doc_id", "page").agg(F.min("block_ix").alias("block_ix")))
+
+
+@query(
+    """with recursive w as (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as a from benchmark),
+f as (select item_id, a, 0 as i, 0 as cur, 0 as lines from w union all
+  select item_id, a, i + 1, case when cur > 0 and cur + 1 + length(a[i + 1]) <= 60 then cur + 1 + length(a[i + 1]) else length(a[i + 1]) end, case when cur > 0 and cur + 1 + length(a[i + 1]) <= 60 then lines else lines + 1 end from f where i < len(a))
+select item_id, cast(max(lines) * 13.5 + 6.0 as double) as text_gap, cast(least(item_id % 400 + 20.0, 300.0) as double) * 200 / 320 + 16 as image_gap from f where i = len(a) group by item_id""".replace("\\\\", "\\")
+)
+def page_insert_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of the gaps that an inserted paragraph and an inserted picture need on a page."""
+    b = table(spark, sf_dir, "benchmark")
+    text = layout.wrapped(F.col("text"), 60) * 13.5 + 6.0
+    image = pages.picture_gap((F.col("item_id") % 400 + 20).cast("double"), F.lit(200.0), F.lit(320.0), F.lit(300.0))
+    return b.select("item_id", text.alias("text_gap"), image.alias("image_gap"))
+
+
+@query(
+    f"""with s as ({SPANS}), f as ({FIRST}) select doc_id, page, l_partkey, cast(case when k = 1 then 12582912 end as bigint) as color, cast(case when k = 1 and l_partkey % 2 = 0 then 16776960 end as bigint) as fill from f"""
+)
+def page_row_coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of each page's first row; other rows keep theirs."""
+    s = _laid(spark, sf_dir)
+    w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "l_partkey", "l_suppkey", "l_extendedprice")
+    first = F.row_number().over(w) == 1
+    return s.withColumn("first", first).select("doc_id", "page", "l_partkey", F.when(F.col("first"), geo.hex_colour(F.lit("#c00000"))).alias("color"), F.when(F.col("first") & (F.col("l_partkey") % 2 == 0), geo.hex_colour(F.lit("ffff00"))).alias("fill"))
