@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as geo
-from folio.operators import layout, pages
+from folio.operators import content, layout, lookup, pages
 from folio.plans.gating import SPANS, _spans
 from folio.plans.registry import query, table
+from folio.sources import blocks as src
 
 #: A band of each page with what it is for, and a cut.
 BANDS = "select distinct doc_id, page, 100.0 + page % 5 * 60 as top, 130.0 + page % 5 * 60 as bottom, cast(40 as double) as x0, cast(300 as double) as x1, cast(760 as double) as floor from s"
@@ -222,3 +223,53 @@ def page_row_coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "l_partkey", "l_suppkey", "l_extendedprice")
     first = F.row_number().over(w) == 1
     return s.withColumn("first", first).select("doc_id", "page", "l_partkey", F.when(F.col("first"), geo.hex_colour(F.lit("#c00000"))).alias("color"), F.when(F.col("first") & (F.col("l_partkey") % 2 == 0), geo.hex_colour(F.lit("ffff00"))).alias("fill"))
+
+
+@query()
+def content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that content streams show, after saved states, nested matrices, leading and fill colours. Events are the ops; users the pages."""
+    e = table(spark, sf_dir, "events")
+    k, v = F.col("event_id") % 10, F.col("value").cast("double")
+    names = F.array(*map(F.lit, ("q", "cm", "Tf", "TL", "Td", "rg", "Tj", "T*", "Q", "Tj")))
+    numbers = F.array(v, v / 2, v % 3)
+    args = F.when(k == 1, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.5), F.lit(1.0), v % 7, v % 5)).when(k == 2, F.array(8 + v % 4)).when(k == 3, F.array(v % 9)).when(k == 4, F.array(v % 30, -(v % 11))).when(k == 5, F.transform(numbers, lambda x: x % 1)).otherwise(F.array().cast("array<double>"))
+    ops = e.select(F.lit(0).alias("doc_id"), F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.element_at(names, (k + 1).cast("int")).alias("op"), args.alias("args"), F.col("event_type").alias("text"))
+    return content.texts(ops)
+
+
+@query(
+    """with n as (select s_nationkey as page, s_suppkey as name, case when s_suppkey % 3 = 0 then s_name end as value, case when s_suppkey % 3 <> 0 then s_suppkey * 2 end as ref from supplier),
+o as (select s_nationkey as page, s_suppkey * 2 as object, 'far ' || s_name as value from supplier where s_suppkey % 3 = 1)
+select n.page, n.name, case when n.ref is null then n.value else o.value end as value from n left join o on o.page = n.page and o.object = n.ref"""
+)
+def resource_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named resources that stand in place or are objects of their own."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 3
+    named = s.select(F.col("s_nationkey").alias("page"), F.col("s_suppkey").alias("name"), F.when(k == 0, F.col("s_name")).alias("value"), F.when(k != 0, F.col("s_suppkey") * 2).alias("ref"))
+    objects = s.where(k == 1).select(F.col("s_nationkey").alias("page"), (F.col("s_suppkey") * 2).alias("object"), F.concat(F.lit("far "), "s_name").alias("value"))
+    return content.resolved(named, objects, ["page"])
+
+
+@query(
+    """with c as (select s_suppkey as tool, i as place, 'bin' || (s_suppkey * (i + 1) % 40) as path from supplier, unnest(range(0, 4)) u(i)), f as (select distinct 'bin' || n_nationkey as path from nation where n_nationkey % 2 = 0),
+r as (select tool, path, row_number() over (partition by tool order by place) as k from c join f using (path)) select tool, path from r where k = 1"""
+)
+def tool_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each tool the first of its candidate paths that there is."""
+    s = table(spark, sf_dir, "supplier")
+    c = s.select(F.col("s_suppkey").alias("tool"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place")).withColumn("path", F.concat(F.lit("bin"), (F.col("tool") * (F.col("place") + 1) % 40).cast("string")))
+    files = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("bin"), F.col("n_nationkey").cast("string")).alias("path"))
+    return content.first_existing(c, files, ["tool"])
+
+
+@query(
+    """with w as (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as a from conversations), e as (select conv_id, turn, i - 1 as word_ix, a[i] as word, length(a[i]) * 5.0 as wide from w, unnest(range(1, len(a) + 1)) u(i))
+select conv_id, turn, cast(word_ix as integer) as word_ix, word, cast(72 + coalesce(sum(wide + 3) over (partition by conv_id, turn order by word_ix rows between unbounded preceding and 1 preceding), 0) as double) as x from e""".replace("\\\\", "\\")
+)
+def typeset_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each word of a line starts when it is set word by word in 10 points with spaces of 3."""
+    c = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    w = src.words(c, "key").select("key.conv_id", "key.turn", "word_ix", "word").withColumn("wide", pages.text_width(F.col("word"), F.lit(10.0)) + 3)
+    x = lookup.running(w, ["conv_id", "turn"], ["word_ix"], F.col("wide"), "x")
+    return x.select("conv_id", "turn", "word_ix", "word", (F.col("x") + 72.0).alias("x"))
