@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 #: Fixed values of the format: name spaces and relationship types.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+CONTENT_TYPES = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 PACKAGE_RELS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 MAIN_TYPE = "/officeDocument"
+THEME = re.compile(r"/theme/theme\d*\.xml$")
 TEXT_PARTS = re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml$")
 #: Bytes of a part beyond which a package is refused.
 LARGEST_PART = 256 << 20
@@ -178,7 +181,21 @@ def read_images(data: bytes) -> list[tuple]:
     return out
 
 
+def read_fonts(data: bytes) -> list[tuple]:
+    """(part, font): fonts that runs, styles and the theme ask for, each once for a part; references to the theme are left to the theme's own names."""
+    z, main = opened(data)
+    found = set()
+    for name in z.namelist():
+        if name == main or TEXT_PARTS.search(name) or name.endswith("/styles.xml"):
+            for fonts in parse(z.read(name)).iter(f"{W}rFonts"):
+                found |= {(name, fonts.get(f"{W}{kind}")) for kind in ("ascii", "hAnsi", "cs", "eastAsia")}
+        elif THEME.search(name):
+            found |= {(name, e.get("typeface")) for e in parse(z.read(name)).iter() if e.tag.rsplit("}", 1)[-1] == "latin"}
+    return sorted((part, font) for part, font in found if font and not font.startswith("+"))
+
+
 RELATIONS = {
+    "fonts": (read_fonts, "part string, font string"),
     "blocks": (read_blocks, "block_ix int, kind string, style_id string, level int, is_list boolean, text string"),
     "runs": (read_runs, "part string, para_ix int, run_ix int, start int, end int, text string, bold boolean, italic boolean, size double"),
     "cells": (read_cells, "table_ix int, row_ix int, cell_ix int, col_start int, span int, vmerge string, text string"),
@@ -228,6 +245,64 @@ def parts(packages: DataFrame) -> DataFrame:
     return packages.mapInPandas(run, "path string, part string, size long, digest string")
 
 
+def repack(data: bytes, changed: dict[str, bytes]) -> bytes:
+    """The package with changed and new parts in it; all others keep their bytes, order and properties. What was written is read back: checksums of all
+    members, and changed XML must parse."""
+    try:
+        old = zipfile.ZipFile(io.BytesIO(data))
+    except zipfile.BadZipFile as e:
+        raise Refused(f"no package: {e}") from e
+    out, rest = io.BytesIO(), dict(changed)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in old.infolist():
+            new.writestr(info, rest.pop(info.filename) if info.filename in rest else old.read(info))
+        for name in sorted(rest):
+            new.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), rest[name], zipfile.ZIP_DEFLATED)
+    back = zipfile.ZipFile(io.BytesIO(out.getvalue()))
+    if back.testzip():
+        raise Refused("a member's checksum is wrong")
+    for name in changed:
+        if name.endswith((".xml", ".rels")):
+            parse(back.read(name))
+    return out.getvalue()
+
+
+def repacked(packages: DataFrame, changes: DataFrame) -> DataFrame:
+    """path, content, error of packages (path, content) with changes (path, part, data) made to them: all of a package's, or none and the reason. Packages
+    without changes come out as they went in."""
+    by_path = changes.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("part", "data"))).alias("parts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for path, content, parts_ in zip(pdf["path"], pdf["content"], pdf["parts"], strict=True):
+                try:
+                    rows.append((path, repack(content, {k: bytes(v) for k, v in dict(parts_).items()}) if parts_ is not None else content, None))
+                except Refused as e:
+                    rows.append((path, content, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"], dtype=object)
+
+    return packages.join(by_path, "path", "left").select("path", "content", "parts").mapInPandas(run, "path string, content binary, error string")
+
+
+def related(rels: bytes, kind: str, target: str) -> tuple[bytes, str]:
+    """Relationships with one more, and its id: the smallest number that none has."""
+    root = parse(rels)
+    used = {r.get("Id") for r in root}
+    ident = next(f"rId{i}" for i in itertools.count(1) if f"rId{i}" not in used)
+    ElementTree.SubElement(root, f"{PACKAGE_RELS}Relationship", {"Id": ident, "Type": kind, "Target": target})
+    return ElementTree.tostring(root, "UTF-8", xml_declaration=True), ident
+
+
+def typed(types: bytes, extension: str, kind: str) -> bytes:
+    """Content types with one for a file extension, if it has none."""
+    root = parse(types)
+    name = f"{CONTENT_TYPES}Default"
+    if not any(e.tag == name and e.get("Extension", "").lower() == extension.lower() for e in root):
+        root.insert(0, ElementTree.Element(name, {"Extension": extension, "ContentType": kind}))
+    return ElementTree.tostring(root, "UTF-8", xml_declaration=True)
+
+
 def styled(blocks: DataFrame, styles: DataFrame) -> DataFrame:
     """Blocks with the level of their own or of their style, inherited over parents ten steps at most; where that chain gives none, the
     nearest name in it that begins with "heading" and a digit does."""

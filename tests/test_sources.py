@@ -124,3 +124,45 @@ def test_inherited_steps(spark):
     chain = spark.createDataFrame([(i, i - 1, 7 if i == 0 else None) for i in range(14)], "k long, p long, v int")
     got = {r["k"]: r["v"] for r in lookup.inherited(chain, "k", "p", "v").collect()}
     assert got == {i: 7 if i <= 10 else None for i in range(14)}
+
+
+def zipped(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(zipfile.ZipInfo(name, (2001, 2, 3, 4, 5, 6)), data, zipfile.ZIP_STORED if name.endswith(".bin") else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="x/officeDocument" Target="word/document.xml"/><Relationship Id="rId3" Type="y" Target="z"/></Relationships>'
+
+
+def test_packages_are_rewritten_part_by_part(spark):
+    old = zipped({"_rels/.rels": RELS, "word/document.xml": BODY, "word/media/a.bin": b"\0\1" * 500, "docProps/app.xml": "<a/>"})
+    changes = [("one", "word/document.xml", b"<b/>"), ("one", "word/new.xml", b"<n/>"), ("two", "word/document.xml", b"<broken"), ("four", "x", b"y")]
+    packages_ = spark.createDataFrame([("one", old), ("two", old), ("three", old), ("four", b"no zip")], "path string, content binary")
+    got = {r["path"]: r for r in packages.repacked(packages_, spark.createDataFrame(changes, "path string, part string, data binary")).collect()}
+    z, before = zipfile.ZipFile(io.BytesIO(bytes(got["one"]["content"]))), zipfile.ZipFile(io.BytesIO(old))
+    assert z.namelist() == [*before.namelist(), "word/new.xml"]
+    assert z.read("word/document.xml") == b"<b/>" and z.read("word/new.xml") == b"<n/>"
+    for name in ("_rels/.rels", "word/media/a.bin", "docProps/app.xml"):
+        a, b = z.getinfo(name), before.getinfo(name)
+        assert z.read(name) == before.read(name) and (a.date_time, a.compress_type, a.CRC) == (b.date_time, b.compress_type, b.CRC)
+    assert bytes(got["three"]["content"]) == old and got["three"]["error"] is None
+    assert bytes(got["two"]["content"]) == old and got["two"]["error"]
+    assert "no package" in got["four"]["error"]
+
+
+def test_relationships_and_types():
+    rels, ident = packages.related(RELS.encode(), "image", "media/a.png")
+    assert ident == "rId2" and b"media/a.png" in rels and packages.related(rels, "image", "b")[1] == "rId4"
+    types = b'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="PNG" ContentType="image/png"/></Types>'
+    assert packages.typed(types, "png", "image/png").count(b"image/png") == 1
+    assert b"image/jpeg" in packages.typed(types, "jpeg", "image/jpeg")
+
+
+def test_requested_fonts():
+    styles = f'<w:styles {W}><w:style w:styleId="H"><w:rPr><w:rFonts w:ascii="Arial" w:hAnsi="Arial" w:cs="Times"/></w:rPr></w:style></w:styles>'
+    theme = '<a:theme xmlns:a="x"><a:fonts><a:latin typeface="Georgia"/><a:latin typeface="+mn-lt"/><a:ea typeface="Other"/></a:fonts></a:theme>'
+    data = zipped({"_rels/.rels": RELS, "word/document.xml": BODY, "word/styles.xml": styles, "word/theme/theme1.xml": theme})
+    assert packages.read_fonts(data) == [("word/styles.xml", "Arial"), ("word/styles.xml", "Times"), ("word/theme/theme1.xml", "Georgia")]
