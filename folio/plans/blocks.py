@@ -228,3 +228,11 @@ def section_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select s.free from (select min(k) as free from (select distinct turn + 1 as k from conversations union select 1) x where k not in (select turn from conversations where turn is not null)) s")
 def smallest_unused_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.smallest_unused(table(spark, sf_dir, "conversations"), "turn")
+
+
+@query("select doc_id, cast(length(text) - length(replace(text, '.', '')) as bigint) as n_dots, cast((length(text) - length(replace(text, '|', ''))) as bigint) as n_pipes, contains(text, '(c)') or contains(text, '$') as marked from documents")
+def literal_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals with signs that patterns reserve, escaped for patterns."""
+    count = lambda s: F.regexp_count("text", F.lit(ft.quoted(s))).cast("bigint")
+    marked = F.col("text").rlike(f"{ft.quoted('(c)')}|{ft.quoted('$')}")
+    return table(spark, sf_dir, "documents").select("doc_id", count(".").alias("n_dots"), count("|").alias("n_pipes"), marked.alias("marked"))

@@ -175,3 +175,14 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts after errors that the original had, too, are downgraded."""
     found = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).cast("bigint").alias("page"), F.when(F.col("toxic") == 1, "E").otherwise("W").alias("severity"), F.lit("label").alias("code"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("message"))
     return gate.verdicts(table(spark, sf_dir, "documents").select("doc_id"), gate.downgraded(found, found.where("doc_id % 2 = 0")))
+
+
+@query(
+    """with f as (select doc_id, case when toxic = 1 then 'E' else 'W' end as s from labels), c as (select doc_id, count(*) filter (where s = 'E') as errors, count(*) filter (where s = 'W') as warnings from f group by doc_id)
+select doc_id, '{"doc_id":' || doc_id || ',"errors":' || errors || ',"warnings":' || warnings || ',"passed":' || case when errors = 0 then 'true' else 'false' end || '}' as report from c"""
+)
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts as lines of JSON, as a results file has them."""
+    found = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).cast("bigint").alias("page"), F.when(F.col("toxic") == 1, "E").otherwise("W").alias("severity"), F.lit("label").alias("code"), F.lit("label").alias("message"))
+    verdicts = gate.verdicts(found.select("doc_id").distinct(), found)
+    return verdicts.select("doc_id", F.to_json(F.struct("doc_id", "errors", "warnings", "passed")).alias("report"))

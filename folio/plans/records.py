@@ -133,3 +133,25 @@ def leading_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three words of blocks and how often each leads."""
     w = src.words(table(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn")), "k")
     return w.where("word_ix < 3").groupBy("word_ix", "word").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with w as (select distinct p_brand as family, p_size % 2 = 0 as bold from part), e as (select p_brand as family, p_size % 2 = 0 as bold, 'embedded ' || min(p_partkey) as file from part where p_partkey % 41 = 0 group by 1, 2),
+a as (select 'Brand#' || (n_nationkey + 10) as family, 'Brand#' || (n_nationkey % 5 + 20) as other from nation), y as (select p_brand as family, p_size % 2 = 0 as bold, 'system ' || min(p_partkey) as file from part where p_partkey % 13 = 0 group by 1, 2),
+i as (select p_brand as family, 'indexed ' || min(p_partkey) as file from part where p_partkey % 3 = 0 group by 1)
+select w.family, w.bold, coalesce(e.file, y.file, i.file) as file from w left join e on e.family = w.family and e.bold = w.bold left join (select family, min(other) as other from a group by family) a on a.family = w.family left join y on y.family = coalesce(a.other, w.family) and y.bold = w.bold left join i on i.family = w.family"""
+)
+def font_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each family and style: one embedded in the document, else a system one by a table of families, else any that is indexed."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), (F.col("p_size") % 2 == 0).alias("bold"), "p_partkey")
+    wanted = p.select("family", "bold").distinct()
+    n = table(spark, sf_dir, "nation")
+    other = n.select(F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 10).cast("string")).alias("family"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 5 + 20).cast("string")).alias("other")).groupBy("family").agg(F.min("other").alias("other"))
+    file = lambda df, kind, *by: df.groupBy(*by).agg(F.concat(F.lit(kind + " "), F.min("p_partkey").cast("string")).alias("file"))
+    named = wanted.join(other, "family", "left").withColumn("system", F.coalesce("other", "family"))
+    embedded = file(p.where("p_partkey % 41 = 0"), "embedded", "family", "bold").join(wanted, ["family", "bold"])
+    system = file(p.where("p_partkey % 13 = 0"), "system", "family", "bold").withColumnRenamed("family", "system").join(named, ["system", "bold"])
+    indexed = file(p.where("p_partkey % 3 = 0"), "indexed", "family").join(wanted, "family")
+    sources = [df.select("family", "bold", "file", F.lit(k).alias("priority")) for k, df in enumerate((embedded, system, indexed))]
+    every = sources[0].unionByName(sources[1]).unionByName(sources[2])
+    return wanted.join(lookup.best(every, ["family", "bold"], [F.col("priority")]).drop("priority"), ["family", "bold"], "left").select("family", "bold", "file")
