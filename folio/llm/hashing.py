@@ -18,6 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Distinct words that are Python objects at a time.
+AT_ONCE = 1 << 16
 _ODD = U(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +89,7 @@ class Words:
         offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
         solid = pa.py_buffer(self.data[self._solid].tobytes())
         words = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets.astype(np.int64)), solid]).dictionary_encode()
-        known = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist())
+        known = b"".join(hashlib.blake2b(w, digest_size=16).digest() for k in range(0, len(words.dictionary), AT_ONCE) for w in words.dictionary.slice(k, AT_ONCE).to_pylist())
         lanes = np.frombuffer(known, "<u8").reshape(-1, 2).astype(U)
         at = words.indices.to_numpy()
         return lanes[at, 0], lanes[at, 1]
