@@ -94,8 +94,8 @@ def units(text: str | None) -> set[str]:
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\s.,*_-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
 
 
-def coded(units_: list[str]) -> list[np.ndarray]:
-    """Symbols of each unit, all at once, marks at both ends."""
+def _flat(units_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all units in a row, marks at both ends of each, and how many each has."""
     cut = [u[:LONGEST] for u in units_]
     sizes = np.array([len(u) for u in cut], np.int64)
     at = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -105,7 +105,13 @@ def coded(units_: list[str]) -> list[np.ndarray]:
     place = np.ones(len(out), bool)
     place[ends - 1] = place[ends - sizes - 2] = False
     out[place] = letters
-    return np.split(out, ends[:-1]) if len(ends) else []
+    return out, sizes + 2
+
+
+def coded(units_: list[str]) -> list[np.ndarray]:
+    """Symbols of each unit, marks at both ends."""
+    symbols, sizes = _flat(units_)
+    return np.split(symbols, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 @functools.cache
@@ -129,8 +135,8 @@ def _features(batch: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, weight
 
 
-def _by_length(strings: list[np.ndarray]) -> Iterator[np.ndarray]:
-    sizes = np.array([len(s) for s in strings], np.int64)
+def _by_length(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Indexes of strings of one length, a bounded number at a time."""
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
         step = max(1, 1_000_000 // max(1, 20 * n))
@@ -178,10 +184,11 @@ class Machine:
         return self.lent[unit]
 
     def decide(self, units_: list[str]) -> np.ndarray:
-        strings = coded(units_)
-        out = np.empty(len(strings))
-        for at in _by_length(strings):
-            batch = np.stack([strings[i] for i in at])
+        symbols, sizes = _flat(units_)
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(len(sizes))
+        for at in _by_length(sizes):
+            batch = symbols[starts[at][:, None] + np.arange(sizes[at[0]])]
             value = np.full(len(at), self.bias)
             for order, table in self.tables.items():
                 code, weight = _features(batch, order)
@@ -230,11 +237,14 @@ class Scorer:
         out[:, :2] = NOTHING
         for i, words in enumerate(every):
             own = set(map(unit.__getitem__, words))
-            values = sorted(map(memo.__getitem__, own))[-2:]
-            if not values:
+            if not own:
                 continue
-            out[i, : len(values)] = values[::-1]
-            if values[-1] > HIT:
+            values = list(map(memo.__getitem__, own))
+            out[i, 0] = best = max(values)
+            if len(values) > 1:
+                values.remove(best)
+                out[i, 1] = max(values)
+            if best > HIT:
                 hits = {u for u in own if memo[u] > HIT}
                 out[i, 2] = math.log1p(sum(map(hits.__contains__, map(unit.__getitem__, words))))
                 out[i, 3] = max(map(self.machine.supported, hits))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import functools
-import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 #: Words up to which the sequence difference is exact, and cutoffs for near strings.
 EXACT_WORDS = 5000
 NEAR = 0.3
-#: Candidates that every text is held against at once.
-MOST_CANDIDATES = 20_000
+#: Candidates that every text is held against at once, and characters of them.
+MOST_CANDIDATES, MOST_CHARS = 20_000, 16_000_000
 
 
 def bag(words: DataFrame, by: list[str], word: str = "word") -> DataFrame:
@@ -58,29 +57,34 @@ def opcodes(pairs: DataFrame) -> DataFrame:
 def nearest(wanted: DataFrame, candidates: DataFrame, most: int = 3, cutoff: float = NEAR) -> DataFrame:
     """key, rank, candidate of rows key, text: the most similar of all rows of ``candidates`` (candidate), by matching blocks.
 
-    Up to MOST_CANDIDATES are broadcast; more are dealt into slices of about that many, each held against every text, and the best
-    over all slices stay. Equal scores go by the larger string, as the library has it.
+    Candidates are a stated set: up to MOST_CANDIDATES strings of MOST_CHARS characters go to all executors at once; more are dealt into slices of about
+    that size, each held against every text, and the best over all slices stay. Equal scores go by the larger string, as the library has it.
     """
+    context = wanted.sparkSession.sparkContext
+    named = candidates.select("candidate").where("candidate is not null")
+    size = named.select(F.count("*").alias("n"), F.coalesce(F.sum(F.length("candidate")), F.lit(0)).alias("c")).first()
+    slices = max(1, -(-size["n"] // MOST_CANDIDATES), -(-size["c"] // MOST_CHARS))
+    # Rows that repeat are scored once. Comparisons cost far more than rows, so rows are dealt evenly.
+    asked = wanted.groupBy(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
+    asked = asked.repartition(4 * context.defaultParallelism)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = difflib.SequenceMatcher()
-        for pdf in frames:
-            rows = []
-            for (key, text), group in itertools.groupby(zip(pdf["key"], pdf["text"], pdf["copies"], pdf["candidate"], strict=True), lambda r: r[:2]):
-                group = list(group)
-                for c in difflib.get_close_matches(text, [r[3] for r in group], most, cutoff):
-                    matcher.set_seqs(c, text)
-                    rows.append((key, text, group[0][2], c, matcher.ratio()))
-            yield pd.DataFrame(rows, columns=["key", "text", "copies", "candidate", "score"])
+    def against(part: DataFrame) -> DataFrame:
+        shared = context.broadcast([r[0] for r in part.collect()])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = difflib.SequenceMatcher()
+            for pdf in frames:
+                rows = []
+                for key, text, copies in zip(pdf["key"], pdf["text"], pdf["copies"], strict=True):
+                    for c in difflib.get_close_matches(text, shared.value, most, cutoff):
+                        matcher.set_seqs(c, text)
+                        rows.append((key, text, copies, c, matcher.ratio()))
+                yield pd.DataFrame(rows, columns=["key", "text", "copies", "candidate", "score"])
+
+        return asked.mapInPandas(run, "key long, text string, copies long, candidate string, score double")
 
-    named = candidates.select("candidate").where("candidate is not null")
-    hit = "key long, text string, copies long, candidate string, score double"
-    slices = -(-named.count() // MOST_CANDIDATES)
     dealt = [named] if slices <= 1 else [named.where(F.pmod(F.xxhash64("candidate"), F.lit(slices)) == k) for k in range(slices)]
-    # Rows that repeat are scored once. Pairs cost far more than rows, so rows are dealt evenly.
-    asked = wanted.groupBy(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
-    asked = asked.repartition(4 * wanted.sparkSession.sparkContext.defaultParallelism)
-    scored = functools.reduce(DataFrame.unionAll, [asked.crossJoin(F.broadcast(c)).mapInPandas(run, hit) for c in dealt])
+    scored = functools.reduce(DataFrame.unionAll, map(against, dealt))
     place = F.row_number().over(Window.partitionBy("key", "text").orderBy(F.desc("score"), F.desc("candidate")))
     best = scored.withColumn("rank", place).where(F.col("rank") <= most)
     return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("key", "rank", "candidate")
