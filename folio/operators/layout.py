@@ -28,8 +28,12 @@ def in_rows(df: DataFrame, by: list[str], y: str, tol: float) -> DataFrame:
 
 
 def islands(df: DataFrame, by: list[str], start: str, end: str, slack: float, ties: list[str] | None = None) -> DataFrame:
-    """``df`` with ``island``: intervals that follow within ``slack`` of the furthest end so far are one."""
-    order = [start, end, *(ties or [])]
+    """``df`` with ``island``: intervals that follow within ``slack`` of the furthest end so far are one.
+
+    Nulls come last, as in the SQL of the queries: an interval without an end opens nothing before those that have one. Both windows
+    have one order and read one sort, so intervals equal in it keep their places from one to the other.
+    """
+    order = [F.col(c).asc_nulls_last() for c in [start, end, *(ties or [])]]
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     furthest = df.withColumn("_m", F.max(end).over(before))
